@@ -81,7 +81,7 @@ def test_entities_lead_to_parents(spark, tiny):
     channels = entities(nodes, "output_id", nested.CHILDREN["channel"][0], ["name"], ["a", "b", "c"])
     layers = entities(nodes, "output_id", nested.CHILDREN["layer"][0], ["mark"], ["a", "b"])
     assert channels.count() > 0
-    assert channels.join(layers, (channels.output_id == layers.output_id) & (channels.parent == layers.node), "left_anti").count() == 0
+    assert channels.select("output_id", "parent").join(layers.select("output_id", layers["node"].alias("parent")), ["output_id", "parent"], "left_anti").count() == 0
 
 
 def test_tables_equal_sql(spark, tiny):
