@@ -20,7 +20,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 16
@@ -85,7 +85,12 @@ def digests(df: DataFrame, value: str, groups: list[str], piece: Column, error:
 
 
 def compress(counts: DataFrame, keys: list[str], error: float) -> DataFrame:
-    """Node counts (keys, node, n), compressed for each key. At most 2**(LEVELS+1) rows come together in one group."""
+    """Node counts (keys, node, n), compressed for each key. At most 2**(LEVELS+1) rows come together in one group.
+
+    A digest of fewer than LEVELS / error values has nothing to compress and stays in the JVM.
+    """
+    total = F.sum(F.when(F.col("node") >= 1, F.col("n"))).over(Window.partitionBy(*keys))
+    sized = counts.withColumn("__large", F.coalesce(total * error / LEVELS >= 1, F.lit(False)))
     columns = [*keys, "node", "n"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -97,7 +102,8 @@ def compress(counts: DataFrame, keys: list[str], error: float) -> DataFrame:
             made[k] = pdf[k].iloc[0]
         return made[columns]
 
-    return counts.select(*columns).groupBy(*keys).applyInPandas(run, f"{kinds(counts, keys)}, node int, n bigint")
+    large = sized.filter("__large").select(*columns).groupBy(*keys).applyInPandas(run, f"{kinds(counts, keys)}, node int, n bigint")
+    return sized.filter("NOT __large").select(*columns).unionByName(large)
 
 
 def merged(parts: DataFrame, groups: list[str], error: float = 0.005) -> DataFrame:

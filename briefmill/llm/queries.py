@@ -55,7 +55,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_sample, p1_by_batch, p3_digests, p3_percentiles, p6_found, p6_by_source, p8_ids)}
 
-_DRAWN = f"((CAST(concat('0x', substr(md5('42:' || item_id), 1, 8)) AS BIGINT) % {sample.BUCKETS}) * {sample.STEP}) % {sample.BUCKETS} < {sample.chosen(FRACTION)}"
+_DRAWN = f"((CAST('0x' || substr(md5('42:' || item_id), 1, 8) AS BIGINT) % {sample.BUCKETS}) * {sample.STEP}) % {sample.BUCKETS} < {sample.chosen(FRACTION)}"
 ORACLE = {
     "p1_sample": f"SELECT record_id, item_id, split, source, batch_no FROM briefs WHERE {_DRAWN}",
     "p1_by_batch": f"SELECT batch_no, count(*) AS n_rows, count(DISTINCT item_id) AS n_items FROM briefs WHERE {_DRAWN} GROUP BY batch_no",
