@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefmill.llm import digest, sample, tokens, truncation
+from briefmill.llm import canonical, digest, sample, tokens, truncation
 from briefmill.runtime import table
 
 #: Problem 1: share of the items drawn from briefs.
@@ -25,6 +25,21 @@ def p1_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.groupBy("batch_no").agg(F.count("*").alias("n_rows"), F.countDistinct("item_id").alias("n_items"))
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = canonical.occurrences(table(spark, sf_dir, "mappings"), "mapping_id", {"task_type": "task_type", "chart_type": "chart_type"}, {"alternatives": "chart_type"})
+    return canonical.map_to_list(own, table(spark, sf_dir, "vocab"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry that each freely written value means, or unmatched."""
+    return _mapped(spark, sf_dir).select("mapping_id", "field", "pos", "canonical")
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that belong to no entry, how often and in which fields they occur."""
+    return _mapped(spark, sf_dir).filter("canonical = 'unmatched'").groupBy("field", "value").agg(F.count("*").alias("n"), F.max("score").alias("best_score"))
+
+
 def p3_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mergeable form: a digest for each method, model and day. Node 0 counts nulls, -1 values that are no durations."""
     day = F.to_date("created_at")
@@ -53,7 +68,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_sample, p1_by_batch, p3_digests, p3_percentiles, p6_found, p6_by_source, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_sample, p1_by_batch, p2_found, p2_unmatched, p3_digests, p3_percentiles, p6_found, p6_by_source, p8_ids)}
 
 _DRAWN = f"((CAST('0x' || substr(md5('42:' || item_id), 1, 8) AS BIGINT) % {sample.BUCKETS}) * {sample.STEP}) % {sample.BUCKETS} < {sample.chosen(FRACTION)}"
 ORACLE = {
