@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefmill.llm import canonical, digest, sample, tokens, truncation
+from briefmill.llm import canonical, digest, overlap, sample, tokens, truncation
 from briefmill.runtime import table
 
 #: Problem 1: share of the items drawn from briefs.
@@ -52,6 +52,25 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.percentiles(digest.merged(days, LATENCY_GROUPS, LATENCY_ERROR), LATENCY_GROUPS, LATENCY_QS, LATENCY_ERROR)
 
 
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlaps(table(spark, sf_dir, "briefs"), "record_id", "split", "users", ("goals", "kpis"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows, one of train and the other of val or test, that are the same brief."""
+    a, b = F.col("train_key"), F.col("eval_key")
+    return p5_pairs(spark, sf_dir).select(F.least(a, b).alias("record_id_a"), F.greatest(a, b).alias("record_id_b"))
+
+
+def p5_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation rows and those found in train, for each split and source."""
+    rows = table(spark, sf_dir, "briefs").filter("split IN ('val', 'test')").select("record_id", "split", "source")
+    pairs = p5_pairs(spark, sf_dir).groupBy(F.col("eval_key").alias("record_id")).agg(F.count("*").alias("n"))
+    joined = rows.join(pairs, "record_id", "left")
+    out = joined.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("n").alias("n_found"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+    return out.withColumn("share_found", F.col("n_found") / F.col("n_rows"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions whose raw_text lost its end."""
     states = truncation.judged(table(spark, sf_dir, "predictions"), "prediction_id", "raw_text", "source")
@@ -68,7 +87,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_sample, p1_by_batch, p2_found, p2_unmatched, p3_digests, p3_percentiles, p6_found, p6_by_source, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_sample, p1_by_batch, p2_found, p2_unmatched, p3_digests, p3_percentiles, p5_found, p5_by_source, p6_found, p6_by_source, p8_ids)}
 
 _DRAWN = f"((CAST('0x' || substr(md5('42:' || item_id), 1, 8) AS BIGINT) % {sample.BUCKETS}) * {sample.STEP}) % {sample.BUCKETS} < {sample.chosen(FRACTION)}"
 ORACLE = {
