@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each context; they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_briefmill_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="briefmill-package-")) / "briefmill_package.zip"
+    with zipfile.ZipFile(bundle, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, str(source.relative_to(package.parent)))
+    sc.addPyFile(str(bundle))
+    sc._briefmill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the folder ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
