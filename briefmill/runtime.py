@@ -81,3 +81,17 @@ def salted_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "i
 def hash_bucket(column: Column, seed: int, buckets: int) -> Column:
     """Bucket 0 .. buckets-1 of a string: the first 8 hex digits of md5(seed ':' value), modulo; the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), column)), 1, 8), 16, 10).cast("bigint") % buckets
+
+
+def skew_join(big: DataFrame, other: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner", limit: int = 200_000, salts: int = 32) -> DataFrame:
+    """Equi-join in which only the keys of ``big`` with more than ``limit`` rows are spread over ``salts`` tasks.
+
+    ``counts`` has keys and n, the rows of ``big`` for each key; hot keys are at most rows / limit, so their list is
+    small. ``other`` is repeated for these only.
+    """
+    hot = F.broadcast(counts.filter(F.col("n") > limit).select(*keys, F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0)
+    left = big.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
+    spread_out = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    right = other.join(hot, keys, "left").withColumn("__salt", spread_out).drop("__hot")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
