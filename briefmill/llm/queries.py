@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefmill.llm import canonical, digest, overlap, sample, tokens, truncation
+from briefmill.llm import canonical, consensus, digest, overlap, sample, tokens, truncation
 from briefmill.runtime import table
 
 #: Problem 1: share of the items drawn from briefs.
@@ -52,6 +52,28 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.percentiles(digest.merged(days, LATENCY_GROUPS, LATENCY_ERROR), LATENCY_GROUPS, LATENCY_QS, LATENCY_ERROR)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score that each unit and dimension with at least three raters most probably deserves."""
+    units, _ = consensus.judged(table(spark, sf_dir, "human_ratings"))
+    return units.select("unit_id", "dimension", "score")
+
+
+def p4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus with its probability, the share of agreeing pairs of raters, and the number of raters."""
+    return consensus.judged(table(spark, sf_dir, "human_ratings"))[0]
+
+
+def p4_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability of each rater from triplet moments, and the share of ratings that equal the consensus."""
+    return consensus.judged(table(spark, sf_dir, "human_ratings"))[1]
+
+
+def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of pairs of raters for each dimension, and what is left of it after chance."""
+    ratings = table(spark, sf_dir, "human_ratings")
+    return consensus.agreement(consensus.judged(ratings)[0], consensus.votes(ratings))
+
+
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlaps(table(spark, sf_dir, "briefs"), "record_id", "split", "users", ("goals", "kpis"))
 
@@ -87,7 +109,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_sample, p1_by_batch, p2_found, p2_unmatched, p3_digests, p3_percentiles, p5_found, p5_by_source, p6_found, p6_by_source, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_sample, p1_by_batch, p2_found, p2_unmatched, p3_digests, p3_percentiles, p4_found, p4_units, p4_raters, p4_agreement, p5_found, p5_by_source, p6_found, p6_by_source, p8_ids)}
 
 _DRAWN = f"((CAST('0x' || substr(md5('42:' || item_id), 1, 8) AS BIGINT) % {sample.BUCKETS}) * {sample.STEP}) % {sample.BUCKETS} < {sample.chosen(FRACTION)}"
 ORACLE = {
