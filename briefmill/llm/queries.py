@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefmill.llm import canonical, consensus, digest, overlap, sample, tokens, truncation
-from briefmill.runtime import table
+from briefmill.llm import canonical, consensus, digest, language, mixture, overlap, sample, tokens, truncation
+from briefmill.runtime import cut, table
 
 #: Problem 1: share of the items drawn from briefs.
 FRACTION = 0.1
@@ -109,7 +109,61 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_sample, p1_by_batch, p2_found, p2_unmatched, p3_digests, p3_percentiles, p4_found, p4_units, p4_raters, p4_agreement, p5_found, p5_by_source, p6_found, p6_by_source, p8_ids)}
+#: Problem 9: the branch of the tree that each source belongs to; sources that aren't named here are a branch of their own.
+DOMAINS = {
+    "design_review": "reviews",
+    "rater_comment": "reviews",
+    "workshop_notes": "reviews",
+    "field_survey": "reviews",
+    "kb_guideline": "guidelines",
+    "translated_manual": "guidelines",
+    "brief_form": "forms",
+    "ticket_export": "forms",
+    "model_output": "models",
+}
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counted = cut(tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text"))
+    domain = F.lit(None).cast("string")
+    for source, name in DOMAINS.items():
+        domain = F.when(F.col("source") == source, name).otherwise(domain)
+    # The targets say nothing of languages, so each domain has one branch for all of them.
+    targets = table(spark, sf_dir, "mix_targets").withColumn("domain", F.coalesce(domain, "source")).withColumn("language", F.lit("all"))
+    return mixture.mixture(counted, targets, ["domain", "language", "source"])
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix, once for each epoch in which they are taken."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target weight, budget, tokens taken and share reached of each source."""
+    return _mixed(spark, sf_dir)[1]
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of prose in another language than the document's label names, or of a document whose label names none."""
+    lines = _lines(spark, sf_dir).filter(F.col("line_lang").isNotNull() & ~F.coalesce(F.col("line_lang") == F.col("label"), F.lit(False)))
+    return lines.select("doc_id", "line_no", F.col("line_lang").alias("lang"))
+
+
+def p10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with its language and confidence; null where it is no prose or none is likely enough."""
+    return _lines(spark, sf_dir).select("doc_id", "line_no", F.col("line_lang").alias("lang"), "confidence")
+
+
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that has a language, with its confidence, whether it is mixed, and what its label names."""
+    return language.documents(_lines(spark, sf_dir), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_sample, p1_by_batch, p2_found, p2_unmatched, p3_digests, p3_percentiles, p4_found, p4_units, p4_raters, p4_agreement, p5_found, p5_by_source, p6_found, p6_by_source, p8_ids, p9_mix, p9_report, p10_found, p10_lines, p10_documents)}
 
 _DRAWN = f"((CAST('0x' || substr(md5('42:' || item_id), 1, 8) AS BIGINT) % {sample.BUCKETS}) * {sample.STEP}) % {sample.BUCKETS} < {sample.chosen(FRACTION)}"
 ORACLE = {
