@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from briefmill.plans import nested
+from briefmill.plans import data, evaluation, nested
 
 #: The query that stands for the whole.
-FLAGSHIP = "p7_mapping_table"
-MODULES = [nested]
+FLAGSHIP = "flagship_run_metrics"
+MODULES = [data, evaluation, nested]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,7 @@
 """JSON lines: scans that keep file and line order and skip what is no JSON, and sinks that keep nulls and all characters.
 
-A line that is blank or no JSON is left out without a word; a path that does not exist raises. Line numbers come from the
-reader, one file split at a time, so the order of records is a column and never that of tasks.
+A line that is blank or no JSON is left out without a word; a path that does not exist raises. The order of records is a
+column, the line's number in its file, and never that of tasks.
 """
 
 from __future__ import annotations
@@ -11,24 +11,23 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from briefmill.runtime import small
+
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(source_file, line_no, value) of text files; each file is read by one task, which numbers its lines."""
+    """(source_file, line_no, value) of text files, which are split as any other.
 
-    def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for name, content in zip(pdf.path, pdf.content, strict=True):
-                rows = bytes(content).decode("utf-8", errors="replace").split("\n")
-                for at in range(0, len(rows), 10_000):
-                    piece = rows[at : at + 10_000]
-                    yield pd.DataFrame({"source_file": name, "line_no": range(at, at + len(piece)), "value": [x.rstrip("\r") for x in piece]})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(number, "source_file string, line_no bigint, value string")
+    A line's number is its place in its split, behind the lines of the file's splits before it; these are counted first.
+    """
+    own = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    splits = own.groupBy("source_file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source_file").orderBy("block")) - F.col("n")
+    starts = small(splits.select("source_file", "block", "first", before.alias("before")))
+    return own.join(starts, ["source_file", "block"]).select("source_file", (F.col("at") - F.col("first") + F.col("before")).alias("line_no"), "value")
 
 
 def strict_json(value: str) -> str | None:
