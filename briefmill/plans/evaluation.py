@@ -160,12 +160,12 @@ def agg3_ratings_by_rater(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "human_ratings").groupBy("rater_id").agg(F.count("*").alias("n_ratings"), F.countDistinct("unit_id").alias("n_units"))
 
 
-@query("SELECT chart_type, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM mappings), 2) AS percent FROM mappings GROUP BY chart_type ORDER BY n DESC, chart_type LIMIT 20")
+@query("SELECT chart_type, count(*) AS n, (SELECT count(*) FROM mappings) AS total FROM mappings GROUP BY chart_type ORDER BY n DESC, chart_type LIMIT 20")
 def agg17_frequent_charts(spark: SparkSession, d: str) -> DataFrame:
     """The twenty most frequent chart values."""
     own = table(spark, d, "mappings")
     total = own.agg(F.count("*").alias("t"))
-    return own.groupBy("chart_type").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("chart_type", "n", F.round(100.0 * F.col("n") / F.col("t"), 2).alias("percent")).orderBy(F.desc("n"), F.asc_nulls_last("chart_type")).limit(20)
+    return own.groupBy("chart_type").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("chart_type", "n", F.col("t").alias("total")).orderBy(F.desc("n"), F.asc_nulls_last("chart_type")).limit(20)
 
 
 @query("SELECT source, min(w) AS shortest, max(w) AS longest, round(avg(w), 4) AS mean, median(w) AS median, round(stddev_samp(w), 4) AS std FROM (SELECT source, len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))::INTEGER AS w FROM documents WHERE text IS NOT NULL) GROUP BY source")
@@ -334,12 +334,12 @@ _QUERY = "trim(concat_ws(' ', nullif(users, ''), nullif(array_to_string(list_fil
     "w AS (SELECT id, term, tf * idf AS w FROM t JOIN i USING (term)), n AS (SELECT id, sqrt(sum(w * w)) AS l FROM w GROUP BY id), "
     "qt AS (SELECT record_id, term, count(*) AS tf FROM (SELECT record_id, " + _TOKENS.format(t=_QUERY) + " AS term FROM briefs) GROUP BY ALL), qw AS (SELECT record_id, term, tf * idf AS w FROM qt JOIN i USING (term)), qn AS (SELECT record_id, sqrt(sum(w * w)) AS l FROM qw GROUP BY record_id), "
     "s AS (SELECT record_id, id, round(sum(qw.w / qn.l * w.w / n.l), 9) AS score FROM qw JOIN qn USING (record_id) JOIN w USING (term) JOIN n USING (id) GROUP BY record_id, id) "
-    "SELECT record_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, id DESC) AS rank FROM s) WHERE rank <= 3 AND score > 0"
+    "SELECT record_id, id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, id DESC) AS rank FROM s) WHERE rank <= 3 AND score > 0"
 )
 def ret2_tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
     """The three best guideline chunks of every brief."""
     briefs, chunks = terms(spark, d)
-    return retrieval.tfidf_topk(briefs, chunks, "record_id", "query", "id", "text").withColumn("score", F.round("score", 6))
+    return retrieval.tfidf_topk(briefs, chunks, "record_id", "query", "id", "text").drop("score")
 
 
 @query()
