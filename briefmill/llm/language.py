@@ -43,6 +43,8 @@ NAMES = {
 SAMPLE_DOCS, SAMPLE_CHARS = 6000, 20_000
 BUCKETS, DIM = 1 << 15, 16
 EPOCHS, BATCH, RATE = 6, 128, 1.5
+#: Steps that few lines are trained for as well.
+LEAST_STEPS = 400
 REJECT = 0.4
 #: A first model's probability from which another language than the label counts as firm.
 FIRM = 0.8
@@ -117,7 +119,7 @@ class Model:
         counts = np.bincount(labels, minlength=len(LANGUAGES))
         share = np.sqrt(often / np.maximum(counts, 1)[labels])
         share = share / share.sum()
-        steps = EPOCHS * max(1, len(lines) // BATCH)
+        steps = max(LEAST_STEPS, EPOCHS * len(lines) // BATCH)
         for step in range(steps):
             pick = rng.choice(len(lines), BATCH, p=share)
             own = [of_line[i] for i in pick]
