@@ -23,8 +23,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +42,19 @@ NAMES = {
 }
 SAMPLE_DOCS, SAMPLE_CHARS = 6000, 20_000
 BUCKETS, DIM = 1 << 15, 16
-EPOCHS, BATCH, RATE = 6, 128, 1.5
+EPOCHS, BATCH, RATE = 6, 128, 0.5
 #: Steps that few lines are trained for as well.
-LEAST_STEPS = 400
+LEAST_STEPS = 800
 REJECT = 0.4
 #: A first model's probability from which another language than the label counts as firm.
 FIRM = 0.8
+#: Times a line must occur to be believed without a first model.
+OFTEN = 5
 #: Words kept with their embeddings, at most.
 KEPT = 200_000
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Runs of letters that no digit or underscore touches.
+WORD = re.compile(r"(?<![\w])[^\W\d_]+(?:['’][^\W\d_]+)*(?![\w])")
+INVISIBLE = regex.compile(r"(?!\s)\p{C}")
 TAG = re.compile(r"<[^<>]*>|&#?\w+;")
 CODE = re.compile(r"[{}\[\]|=<>\\_^~`]|\w+\(\w*\)")
 
@@ -68,7 +72,7 @@ def label_of(lang: Column) -> Column:
 def words_of(line: str) -> list[str]:
     """The normalised words of a line; none if it is no prose."""
     text = unicodedata.normalize("NFKC", html.unescape(line))
-    text = "".join(c for c in text if c.isspace() or unicodedata.category(c)[0] != "C")
+    text = INVISIBLE.sub("", text)
     bare = TAG.sub(" ", text)
     words = [w.lower() for w in WORD.findall(bare)]
     long = [w for w in words if len(w) > 1]
@@ -88,6 +92,14 @@ def buckets_of(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) & (BUCKETS - 1) for p in sorted(parts)]
 
 
+def summed(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places, in order, and the sum of the rows of each."""
+    order = np.argsort(at, kind="stable")
+    there = at[order]
+    first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
+    return there[first], np.add.reduceat(rows[order], first, axis=0)
+
+
 class Model:
     """Embeddings of subwords and a linear softmax."""
 
@@ -138,9 +150,9 @@ class Model:
             rate = RATE * (1 - step / steps)
             back = p @ self.weight.T / size[:, None]
             self.weight -= (rate * line_vec.T @ p / BATCH * 8).astype(np.float32)
-            grad = np.zeros((len(used), DIM), np.float32)
-            np.add.at(grad, inverse, np.repeat(back, size, axis=0))
-            np.add.at(self.embedding, cells, -(rate * np.repeat(grad / n_parts[used][:, None], n_parts[used], axis=0)).astype(np.float32))
+            grad = summed(np.repeat(back, size, axis=0), inverse)[1] / n_parts[used][:, None]
+            touched, total = summed(np.repeat(grad, n_parts[used], axis=0), cells)
+            self.embedding[touched] -= rate * total
 
     def scores(self, lines: list[list[str]]) -> np.ndarray:
         """Probabilities of each line; lines must have words."""
@@ -173,8 +185,8 @@ def calibrated(model: Model, lines: list[list[str]], labels: np.ndarray) -> None
     model.temperature = best[1]
 
 
-def sampled_lines(df: DataFrame, key: str, text: str, lang: str) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-    """Distinct prose lines of the sample, the label that most of their documents have, and how often they occur."""
+def sampled_lines(df: DataFrame, key: str, text: str, lang: str) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct prose lines of the sample, the label that most of their documents have, how often they occur, and with what share of it."""
     label = label_of(F.col(lang))
     own = df.select(F.col(text).alias("t"), label.alias("l"), F.xxhash64(F.col(key), F.length(text)).alias("h")).filter(F.col("l").isNotNull() & (F.length("t") > 0) & (F.length("t") <= SAMPLE_CHARS))
     votes: dict[tuple[str, ...], np.ndarray] = {}
@@ -183,20 +195,25 @@ def sampled_lines(df: DataFrame, key: str, text: str, lang: str) -> tuple[list[l
             if words := words_of(line):
                 votes.setdefault(tuple(words), np.zeros(len(LANGUAGES)))[LANGUAGES.index(row["l"])] += 1
     counts = np.array([v.sum() for v in votes.values()])
-    return [list(w) for w in votes], np.array([int(v.argmax()) for v in votes.values()], int), counts
+    return [list(w) for w in votes], np.array([int(v.argmax()) for v in votes.values()], int), counts, np.array([v.max() / v.sum() for v in votes.values()])
 
 
-def trained(lines: list[list[str]], labels: np.ndarray, often: np.ndarray) -> Model | None:
-    """The model, from lines whose labels may be wrong; None without lines."""
+def trained(lines: list[list[str]], labels: np.ndarray, often: np.ndarray, share: np.ndarray) -> Model | None:
+    """The model, from lines whose labels may be wrong; None without lines.
+
+    A line that occurs often with one label most of the time is believed; others must not be placed elsewhere by a first model.
+    """
     if not lines:
         return None
     first = Model()
     first.fit(lines, labels, often)
     p = first.scores(lines)
-    sure = (p.argmax(1) == labels) | (p.max(1) < FIRM)
+    sure = (p.argmax(1) == labels) | (p.max(1) < FIRM) | ((often >= OFTEN) & (share >= 0.5))
     keep = np.flatnonzero(sure)
-    held = keep[::10] if len(keep) > 100 else keep
-    train = np.setdiff1d(keep, held) if len(keep) > 100 else keep
+    # Lines that occur often are all learned from; of the others a tenth is held out.
+    rare = keep[often[keep] < OFTEN]
+    held = rare[::10] if len(rare) > 100 else keep
+    train = np.setdiff1d(keep, held) if len(rare) > 100 else keep
     model = Model()
     model.fit([lines[i] for i in train], labels[train], often[train])
     calibrated(model, [lines[i] for i in held], labels[held])
