@@ -55,8 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` for costly work per row: a scan of fewer splits than cores is dealt out over all cores.
 
-    On large inputs the scan has more splits than there are cores and nothing is shuffled.
+    On large inputs the scan has more splits than there are cores and nothing is shuffled. A plan that is more than a scan
+    has partitions of its own already and stays as it is.
     """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(step in plan for step in ("Join", "Aggregate", "Sort", "Window", "Repartition", "Union")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -66,6 +70,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def salt_of(df: DataFrame, salts: int) -> Column:
+    """A salt from the row's own values, so a task that runs again deals its rows out as before. Equal rows share it."""
+    return F.pmod(F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]), F.lit(salts)).cast("int")
+
+
 def salted_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Equi-join in which each key of ``big`` is spread over ``salts`` tasks; ``other`` is repeated ``salts`` times.
 
@@ -73,7 +82,7 @@ def salted_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "i
     ``how`` is inner, left, left_semi or left_anti. Null keys never match, as in any equi-join.
     """
     salt = "__salt"
-    left = big.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    left = big.withColumn(salt, salt_of(big, salts))
     right = other.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, [*keys, salt], how).drop(salt)
 
@@ -90,7 +99,7 @@ def skew_join(big: DataFrame, other: DataFrame, keys: list[str], counts: DataFra
     small. ``other`` is repeated for these only.
     """
     hot = F.broadcast(counts.filter(F.col("n") > limit).select(*keys, F.lit(True).alias("__hot")))
-    salt = F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0)
+    salt = F.when(F.col("__hot"), salt_of(big, salts)).otherwise(0)
     left = big.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
     spread_out = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     right = other.join(hot, keys, "left").withColumn("__salt", spread_out).drop("__hot")
