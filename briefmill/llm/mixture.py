@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from briefmill.runtime import BROADCAST_ROWS, cut
+from briefmill.runtime import BROADCAST_ROWS, cut, small
 
 #: Hash buckets of each leaf; a power of two.
 BUCKETS = 4096
@@ -124,7 +124,7 @@ def mixture(counted: DataFrame, targets: DataFrame, levels: list[str], leaf: str
 
     everyone = own.join(plans.select(leaf, "full", "partial"), leaf)
     epochs = everyone.filter("full > 0").select(key, leaf, F.explode(F.sequence(F.lit(1), F.col("full"))).alias("epoch"), "n_tokens")
-    prefix = everyone.filter("partial > 0").join(F.broadcast(whole), [leaf, "bucket"]).select(key, leaf, F.col("partial").alias("epoch"), "n_tokens")
+    prefix = everyone.filter("partial > 0").join(small(whole, 200_000), [leaf, "bucket"]).select(key, leaf, F.col("partial").alias("epoch"), "n_tokens")
     in_bucket = Window.partitionBy(leaf).orderBy(F.xxhash64(F.lit(seed), "partial", key), key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     border = own.join(F.broadcast(edge), [leaf, "bucket"]).withColumn("run", F.sum("n_tokens").over(in_bucket)).filter(F.col("run") <= F.col("room"))
     mix = epochs.unionByName(prefix).unionByName(border.select(key, leaf, F.col("partial").alias("epoch"), "n_tokens"))
