@@ -19,7 +19,7 @@ from briefmill.functions import jsonout, text, vocab
 from briefmill.operators.registry import METHODS, RETRIEVERS
 from briefmill.operators.relational import last_wins, resume
 from briefmill.operators.retrieval import bm25_topk, dense_topk, tfidf_topk
-from briefmill.runtime import cut
+from briefmill.runtime import cut, small
 
 Generate = Callable[[list[str]], list[str]]
 ERROR = "struct<error_type:string,error:string,traceback:string>"
@@ -78,7 +78,7 @@ def prompts(briefs: DataFrame, keep: list[str]) -> DataFrame:
 
 def with_passages(prompted: DataFrame, hits: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """Prompts with the passages of each brief, best first, put before them; those without passages stay as they are."""
-    named = hits.join(F.broadcast(chunks.select(F.col("id"), "source", "heading", "text")), "id")
+    named = hits.join(small(chunks.select("id", "source", "heading", "text")), "id")
     block = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "source", "heading", "text", "score"))).alias("retrieved_docs"))
     out = prompted.join(block, key, "left")
     lead = F.concat(F.lit("Relevant design guidelines:\n\n"), text.passages_block(F.col("retrieved_docs")), F.lit("\n\n"))
