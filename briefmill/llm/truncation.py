@@ -6,7 +6,8 @@ at the end of the text, a quote, a bracket, a code fence or a broken multibyte s
 later step may have put there (an ellipsis, a note such as [stream closed], a closing fence) the automaton looks at what
 the model wrote itself. Outside of objects, what follows the last sentence end must be nothing, symbols, or a closed bracket
 or quote. Else it is decided against baselines of the whole corpus: an ending after the last sentence counts as a
-terminator if it makes up ``SHARE`` of such endings of its source or of all sources; the last entry of a list is whole if its last two
+terminator if it makes up ``SHARE`` of such endings of its source or of all sources, counted over distinct texts, so that a
+text that is sent again often weighs as one; the last entry of a list is whole if its last two
 words also end an entry that another entry follows.
 
 Defined cases: null, empty and blank texts are no case; finished text that is malformed (missing or extra commas, single
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from briefmill.runtime import cut, spread
 
-#: An ending is a terminator of a source if it makes up this share of the endings in question, and occurs so often at least.
+#: An ending is a terminator of a source if it makes up this share of the endings in question, and so many distinct texts have it at least.
 SHARE, LEAST = 0.05, 5
 DOUBLE = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}\[\]"]', re.S)
 SINGLE = re.compile(r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|[{}\[\]"']""", re.S)
@@ -115,9 +116,9 @@ def inner_endings(text: str) -> Iterator[str]:
 
 
 def judged(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(kind, key, source, of, n): a row for each text that isn't whole at first sight, ``of`` being its key in ``df``;
-    endings of inner list entries (kind ending); and the number of texts of each source (kind texts). One pass."""
-    slim = spread(df.select(F.col(key).alias("of"), F.col(source).alias("source"), F.col(text).alias("__text")))
+    """(kind, about, source, of, n, same): a row for each text that isn't whole at first sight, ``of`` being its key in ``df``
+    and ``same`` a hash of the whole text; endings of inner list entries (kind ending); and the number of texts of each source (kind texts). One pass."""
+    slim = spread(df.select(F.col(key).alias("of"), F.col(source).alias("source"), F.col(text).alias("__text"), F.xxhash64(text).alias("same")))
     of = pa.int64() if df.schema[key].dataType.simpleString() == "bigint" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,26 +126,26 @@ def judged(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             texts: dict[str | None, int] = {}
-            for i, where, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for i, where, t, same in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if t is None or not t.strip():
                     continue
                 texts[where] = texts.get(where, 0) + 1
                 kind, about = state(t)
                 if kind != "whole":
-                    rows.append((kind, about, where, i, 1))
+                    rows.append((kind, about, where, i, 1, same))
                 if "\n" in t and t.lstrip()[:1] not in ("{", "`"):
                     for x in inner_endings(written(t.strip())):
                         if x not in seen:
                             if len(seen) > 100_000:
                                 seen.clear()
                             seen.add(x)
-                            rows.append(("ending", x, None, None, 1))
-            rows += [("texts", None, where, None, n) for where, n in texts.items()]
+                            rows.append(("ending", x, None, None, 1, None))
+            rows += [("texts", None, where, None, n, None) for where, n in texts.items()]
             if rows:
-                a, b, c, d, e = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.string()), pa.array(c, pa.string()), pa.array(d, of), pa.array(e, pa.int64())], ["kind", "about", "source", "of", "n"])
+                a, b, c, d, e, f = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.string()), pa.array(c, pa.string()), pa.array(d, of), pa.array(e, pa.int64()), pa.array(f, pa.int64())], ["kind", "about", "source", "of", "n", "same"])
 
-    out = slim.mapInArrow(run, f"kind string, about string, source string, of {'bigint' if of == pa.int64() else 'string'}, n bigint")
+    out = slim.mapInArrow(run, f"kind string, about string, source string, of {'bigint' if of == pa.int64() else 'string'}, n bigint, same bigint")
     return cut(out)
 
 
@@ -152,10 +153,12 @@ def truncated(states: DataFrame) -> DataFrame:
     """(of, source, reason) of the texts that were cut, from ``judged``."""
     structural = states.filter("kind = 'cut'").select("of", "source", F.col("about").alias("reason"))
     tails = states.filter("kind = 'tail'")
-    counted = tails.groupBy("source", "about").agg(F.count("*").alias("n"))
+    # Copies of a text are combined before the shuffle; a text that several sources have counts once in each and once in all.
+    texts = tails.groupBy("source", "about", "same").agg(F.lit(1).alias("one"))
+    counted = texts.groupBy("source", "about").agg(F.count("*").alias("n"))
     by_source = counted.groupBy("source").agg(F.sum("n").alias("of_source"))
-    everywhere = counted.groupBy("about").agg(F.sum("n").alias("n"))
-    total = tails.agg(F.count("*").alias("of_all"))
+    everywhere = texts.groupBy("about", "same").agg(F.lit(1).alias("one")).groupBy("about").agg(F.count("*").alias("n"))
+    total = everywhere.agg(F.sum("n").alias("of_all"))
     usual_here = (
         counted.withColumn("s", F.coalesce("source", F.lit("")))
         .join(by_source.select(F.coalesce("source", F.lit("")).alias("s"), "of_source"), "s")

@@ -58,6 +58,17 @@ def test_baselines(spark):
     assert shares == {"a": (38, 8), None: (3, 1), "b": (2, 2)}
 
 
+def test_copies_of_one_cut_text(spark):
+    """A cut text that is sent again often is no terminator, nor do its copies make cuts of the real sign-offs."""
+    rows = [(i, f"Page {i} is full. Best, the desk", "a", None, None) for i in range(8)]
+    rows += [(100 + i, "The page is full. Then the pan", "a", None, None) for i in range(300)]
+    rows += [(500 + i, "The page is full. Then the pan", "b", None, None) for i in range(300)]
+    states = tr.judged(spark.createDataFrame(rows, DDL), "id", "t", "s")
+    got = sorted((r.of, r.reason) for r in tr.truncated(states).collect())
+    assert got == [(i, "sentence") for i in [*range(100, 400), *range(500, 800)]]
+    assert {r.source: (r.n_texts, r.n_cut) for r in tr.by_source(states).collect()} == {"a": (308, 300), "b": (300, 300)}
+
+
 def test_empty_table(spark):
     states = tr.judged(spark.createDataFrame([], DDL), "id", "t", "s")
     assert tr.truncated(states).count() == 0 and tr.by_source(states).count() == 0
