@@ -271,7 +271,7 @@ def sc17_judge_prompts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def sc25_rendered_outputs(spark: SparkSession, d: str) -> DataFrame:
     """Outputs as raters see them."""
-    return table(spark, d, "predictions").filter("variant = 'missing_info'").select("prediction_id", jsonout.rendered_output("raw_text").alias("markdown"))
+    return table(spark, d, "predictions").select("prediction_id", jsonout.rendered_output("raw_text").alias("markdown"))
 
 
 @query()
