@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from briefmill.functions import ids, jsonout, text, vocab
 from briefmill.operators import human, relational, report
 from briefmill.operators.inference import echo, prompts, run_inference
-from briefmill.runtime import table, small
+from briefmill.runtime import skew_join, small, table
 from briefmill.sources import markdown, synthetic
 
 QUERIES = {}
@@ -261,11 +261,12 @@ def sc21_parsed_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sc17_judge_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """What a judge is asked about each paraphrased prediction."""
+    """What a judge is asked about each prediction; an item that many predictions answer is salted."""
     briefs = relational.last_wins(table(spark, d, "briefs").filter("item_id IS NOT NULL"), ["item_id"], ["record_id"])
     line = briefs.select("item_id", text.brief_line(*[F.col(c) for c in ("users", "goals", "kpis", "constraints")]).alias("brief"))
-    own = table(spark, d, "predictions").filter("variant = 'paraphrased'").select("prediction_id", "item_id", "raw_text")
-    return own.join(line, "item_id", "left").select("prediction_id", text.judge_prompt(F.col("brief"), F.col("raw_text"), list(vocab.RUBRIC)).alias("prompt"))
+    own = table(spark, d, "predictions").select("prediction_id", "item_id", "raw_text")
+    counts = own.groupBy("item_id").agg(F.count("*").alias("n"))
+    return skew_join(own, line, ["item_id"], counts, "left", limit=20_000).select("prediction_id", text.judge_prompt(F.col("brief"), F.col("raw_text"), list(vocab.RUBRIC)).alias("prompt"))
 
 
 @query()

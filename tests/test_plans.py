@@ -5,3 +5,11 @@ from briefmill.runtime import table
 def test_every_prediction_is_rendered(spark, tiny):
     own = data.sc25_rendered_outputs(spark, tiny)
     assert own.count() == table(spark, tiny, "predictions").count() == own.filter("markdown <> ''").count()
+
+
+def test_every_prediction_is_judged(spark, tiny):
+    own = data.sc17_judge_prompts(spark, tiny)
+    rows = table(spark, tiny, "predictions")
+    assert own.count() == own.select("prediction_id").distinct().count() == rows.count()
+    known = rows.join(table(spark, tiny, "briefs").select("item_id").distinct(), "item_id", "left_semi")
+    assert own.filter("prompt NOT LIKE '%BRIEF:\n(brief unavailable)%'").count() == known.count()
