@@ -142,7 +142,9 @@ def consensus(own: DataFrame, unit: DataFrame, raters: DataFrame, rounds: int =
 
 
 def judged(df: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Units (unit_id, dimension, score, confidence, agreement, n_raters) and raters (rater, n, reliability, accuracy)."""
+    """Units (unit_id, dimension, score, confidence, agreement, n_raters) and raters (rater, n, reliability, accuracy).
+
+    Units are those with at least ``least`` raters; the agreement of a single rater is null."""
     own = votes(df)
     unit = cut(histograms(own))
     raters = cut(reliabilities(own, unit))
@@ -150,7 +152,7 @@ def judged(df: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     best = F.array_max("p")
     labels = F.transform(F.sequence(F.lit(0), F.lit(SCORES - 1)), lambda x: sum((F.col("h")[x + b * SCORES] for b in range(1, POOLS)), F.col("h")[x]))
     pairs = F.aggregate(labels, F.lit(0).cast("bigint"), lambda a, x: a + x * (x - 1))
-    units = p.join(unit, UNIT).select(*UNIT, F.array_position("p", best).cast("int").alias("score"), best.alias("confidence"), (pairs / (F.col("n") * (F.col("n") - 1))).alias("agreement"), F.col("n").alias("n_raters"))
+    units = p.join(unit, UNIT).select(*UNIT, F.array_position("p", best).cast("int").alias("score"), best.alias("confidence"), F.when(F.col("n") > 1, pairs / (F.col("n") * (F.col("n") - 1))).alias("agreement"), F.col("n").alias("n_raters"))
     right = skew_join(own, units.select(*UNIT, "score"), UNIT, unit.select(*UNIT, "n")).groupBy("rater").agg(F.avg((F.col("s") == F.col("score")).cast("double")).alias("accuracy"))
     return units.filter(F.col("n_raters") >= least), raters.join(right, "rater")
 
@@ -160,5 +162,6 @@ def agreement(units: DataFrame, own: DataFrame) -> DataFrame:
     share = own.groupBy("dimension", "s").agg(F.count("*").alias("k"))
     total = share.groupBy("dimension").agg(F.sum("k").alias("t"))
     chance = share.join(total, "dimension").groupBy("dimension").agg(F.sum(F.pow(F.col("k") / F.col("t"), 2)).alias("expected"))
-    seen = units.groupBy("dimension").agg((F.sum(F.col("agreement") * F.col("n_raters")) / F.sum("n_raters")).alias("observed"), F.count("*").alias("n_units"))
+    paired = units.filter(F.col("agreement").isNotNull())  # a single rater makes no pair
+    seen = paired.groupBy("dimension").agg((F.sum(F.col("agreement") * F.col("n_raters")) / F.sum("n_raters")).alias("observed"), F.count("*").alias("n_units"))
     return seen.join(chance, "dimension").withColumn("kappa", F.when(F.col("expected") < 1, (F.col("observed") - F.col("expected")) / (1 - F.col("expected"))))

@@ -54,13 +54,13 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score that each unit and dimension with at least three raters most probably deserves."""
-    units, _ = consensus.judged(table(spark, sf_dir, "human_ratings"))
+    units, _ = consensus.judged(table(spark, sf_dir, "human_ratings"), least=3)
     return units.select("unit_id", "dimension", "score")
 
 
 def p4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consensus with its probability, the share of agreeing pairs of raters, and the number of raters."""
-    return consensus.judged(table(spark, sf_dir, "human_ratings"))[0]
+    """Consensus of every unit and dimension that has a valid score, with its probability, the share of agreeing pairs of raters, and the number of raters."""
+    return consensus.judged(table(spark, sf_dir, "human_ratings"), least=1)[0]
 
 
 def p4_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def p4_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of pairs of raters for each dimension, and what is left of it after chance."""
     ratings = table(spark, sf_dir, "human_ratings")
-    return consensus.agreement(consensus.judged(ratings)[0], consensus.votes(ratings))
+    return consensus.agreement(consensus.judged(ratings, least=1)[0], consensus.votes(ratings))
 
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

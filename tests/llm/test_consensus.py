@@ -1,5 +1,6 @@
 import numpy as np
 from briefmill.llm import consensus as co
+from briefmill.llm import queries
 from pyspark.sql import functions as F
 
 DDL = "rating_id bigint, rater_id string, unit_id string, scores map<string,int>, timestamp string, received_at timestamp, rater string, s string"
@@ -75,3 +76,15 @@ def test_hot_unit_without_pairs(spark):
     units, _ = co.judged(frame(spark, rows))
     r = units.first()
     assert (r.score, r.n_raters) == (4, 3000) and abs(r.agreement - 5 / 9) < 0.01
+
+
+def test_units_of_one_and_two_raters(spark, tmp_path):
+    """p4_units has every unit with a valid score, p4_found only those of three raters; pairs of two-rater units count as observed."""
+    scores = {"one": [4], "two": [3, 3], "split": [1, 5], "three": [2, 2, 2]}
+    rows = [(10 * k + i, f"r{i}", u, {"d": s}, "2026-01-01 10:00:00", "2026-01-01 10:00:00", None, None) for k, (u, given) in enumerate(scores.items()) for i, s in enumerate(given)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/human_ratings.parquet")
+    units = {r.unit_id: (r.n_raters, r.agreement) for r in queries.p4_units(spark, str(tmp_path)).collect()}
+    assert units == {"one": (1, None), "two": (2, 1.0), "split": (2, 0.0), "three": (3, 1.0)}
+    assert [r.unit_id for r in queries.p4_found(spark, str(tmp_path)).collect()] == ["three"]
+    r = queries.p4_agreement(spark, str(tmp_path)).first()
+    assert (r.n_units, round(r.observed, 6)) == (3, round(5 / 7, 6))
