@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefmill.operators.shred import entities, position, shred
-from briefmill.runtime import table
+from briefmill.runtime import cut, table
 
 ROOTS = ["kpi_chart_mapping", "rationales", "interactions"]
 ARRAYS = ["kpi_chart_mapping", "rationales", "interactions", "alternatives", "layers", "channels", "targets", "fields"]
@@ -64,7 +64,42 @@ def p7_target_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(nodes(spark, sf_dir), "output_id", "interactions.targets", ["kpi"], ["interaction_pos", "target_pos"])
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_nodes, p7_mapping_table, p7_rationale_table, p7_channel_table, p7_target_table)}
+def p7_mapping_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings with node and parent and the scalars of their encoding; encoding_node is the parent of its layers."""
+    path = "kpi_chart_mapping"
+    # Both entities are made of the same few nodes, so records are walked once.
+    paths = [path, f"{path}.encoding", *[f"{path}.{f}" for f in ("kpi", "task_type", "chart_type", "encoding.x", "encoding.y")]]
+    own = cut(nodes(spark, sf_dir).filter(F.col("path").isin(paths)))
+    encoding = entities(own, "output_id", f"{path}.encoding", ["x", "y"], ["pos"])
+    encoding = encoding.select("output_id", F.col("parent").alias("node"), F.col("node").alias("encoding_node"), F.col("value").alias("encoding_text"), F.col("x").alias("encoding_x"), F.col("y").alias("encoding_y"))
+    return entities(own, "output_id", path, ["kpi", "task_type", "chart_type"], ["pos"]).join(encoding, ["output_id", "node"], "left")
+
+
+def p7_rationale_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(nodes(spark, sf_dir), "output_id", "rationales", ["claim", "principle"], ["pos"])
+
+
+def p7_alternative_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(nodes(spark, sf_dir), "output_id", "kpi_chart_mapping.alternatives", [], ["mapping_pos", "alternative_pos"])
+
+
+def p7_layer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers as a flat table; parent is the encoding of the mapping."""
+    return entities(nodes(spark, sf_dir), "output_id", "kpi_chart_mapping.encoding.layers", ["mark"], ["mapping_pos", "layer_pos"])
+
+
+def p7_interaction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interactions as a flat table; value holds those that are text."""
+    return entities(nodes(spark, sf_dir), "output_id", "interactions", ["type", "label"], ["pos"])
+
+
+def p7_field_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(nodes(spark, sf_dir), "output_id", "interactions.targets.fields", [], ["interaction_pos", "target_pos", "field_pos"])
+
+
+_ALL = (p7_found, p7_nodes, p7_mapping_table, p7_rationale_table, p7_channel_table, p7_target_table)
+_ALL += (p7_mapping_entities, p7_rationale_entities, p7_alternative_table, p7_layer_table, p7_interaction_table, p7_field_table)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _UNNEST = "(SELECT output_id, unnest(range(len({c}))) AS pos, unnest({c}) AS x FROM design_outputs)"
 ORACLE = {
