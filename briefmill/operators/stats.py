@@ -192,7 +192,7 @@ def bootstrap_ci(values: np.ndarray, statistic: Callable[[np.ndarray], np.ndarra
     return float(f(x)), float(low), float(high)
 
 
-def bootstrap_means(df: DataFrame, by: list[str], item: str, value: str, n_boot: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap_means(df: DataFrame, by: list[str], item: str, value: str, n_boot: int = 10_000, ci: float = 0.95, seed: int = 42) -> DataFrame:
     """(by, n, point, ci_low, ci_high): intervals of means for groups of any size, in one pass.
 
     Each value takes part in each of ``n_boot`` resamples as often as a Poisson draw seeded by its item says, so resamples are
@@ -227,7 +227,7 @@ def bootstrap_means(df: DataFrame, by: list[str], item: str, value: str, n_boot:
     return parts.groupBy(*by).applyInPandas(finish, f"{kinds}, n bigint, point double, ci_low double, ci_high double")
 
 
-def bootstrap_difference(pairs: DataFrame, item: str, n_boot: int = 1000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap_difference(pairs: DataFrame, item: str, n_boot: int = 10_000, ci: float = 0.95, seed: int = 42) -> DataFrame:
     """(a, b, n, point, ci_low, ci_high) of the mean difference of pairs."""
     return bootstrap_means(pairs.withColumn("d", F.col("x") - F.col("y")), PAIR, item, "d", n_boot, ci, seed)
 

@@ -155,3 +155,9 @@ def test_reports(spark):
     df = spark.createDataFrame([("m", "k", "1"), ("m", "k", "3"), ("m", "k", "x"), (None, "k", "5")], "g string, name string, v string")
     r = report.pooled(df, ["g"], "name", "v").collect()
     assert len(r) == 1 and (r[0]["mean"], r[0]["count"]) == (2.0, 2) and r[0]["std"] == pytest.approx(math.sqrt(2))
+
+
+def test_ten_thousand_resamples_by_default(spark):
+    df = spark.createDataFrame([("g", f"i{i}", float(i * i % 17)) for i in range(40)], "g string, i string, v double")
+    ends = lambda *n: tuple(stats.bootstrap_means(df, ["g"], "i", "v", *n).select("ci_low", "ci_high").first())
+    assert ends() == ends(10_000) != ends(1000)
