@@ -6,6 +6,8 @@ evaluated in one job. References are few columns and unique by item after ``last
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,17 +140,30 @@ def latency(predictions: DataFrame, by: list[str], value: str = "latency_ms") ->
     )
 
 
-def grounding(predictions: DataFrame, by: list[str], docs: Column, rationales: Column) -> DataFrame:
-    """Share of claims that the retrieved passages don't support, averaged over items; items without a claim that can be scored are left out."""
+def grounding(predictions: DataFrame, by: list[str], docs: Column, rationales: Column, encoder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Share of claims that the retrieved passages don't support, averaged over items; items without a claim that can be scored are left out.
+
+    encoder: makes an array of texts an array of their unit vectors; with it support is semantic, else by common words.
+    """
     claims = F.transform(F.filter(rationales, lambda r: r.isNotNull()), lambda r: F.concat_ws(" ", F.when(r["claim"] != "", r["claim"]), F.when(r["principle"] != "", r["principle"])))
     context = F.array_distinct(F.flatten(F.transform(F.filter(docs, lambda d: d.isNotNull()), lambda d: text.content_words(F.coalesce(d["text"], F.lit(""))))))
     own = predictions.filter(F.size(docs) > 0)
+    if encoder:
+        passages = F.transform(F.filter(docs, lambda d: d.isNotNull()), lambda d: F.coalesce(d["text"], F.lit("")))
+        own = own.select(*by, F.filter(claims, lambda c: F.trim(c) != "").alias("claims"), passages.alias("passages")).filter((F.size("claims") > 0) & (F.size("passages") > 0))
+        own = own.withColumn("claims", encoder(F.col("claims"))).withColumn("passages", encoder(F.col("passages")))
+        lacking = F.size(F.filter("claims", lambda c: ~semantic_support(c, F.col("passages"))))
+        return unsupported_rates(own.select(*by, F.size("claims").alias("scored"), (lacking / F.size("claims")).alias("unsupported")), by, "semantic")
     own = own.select(*by, F.transform(F.filter(claims, lambda c: c != ""), text.content_words).alias("claims"), context.alias("context"))
     own = own.withColumn("claims", F.filter("claims", lambda c: F.size(c) > 0)).filter(F.size("claims") > 0)
     lacking = F.size(F.filter("claims", lambda c: F.size(F.array_intersect(c, F.col("context"))) / F.size(c) < vocab.LEXICAL_SUPPORT))
-    own = own.select(*by, F.size("claims").alias("scored"), (lacking / F.size("claims")).alias("unsupported"))
+    return unsupported_rates(own.select(*by, F.size("claims").alias("scored"), (lacking / F.size("claims")).alias("unsupported")), by, "lexical_proxy")
+
+
+def unsupported_rates(own: DataFrame, by: list[str], mode: str) -> DataFrame:
+    """Rates of ``grounding`` from (by, scored, unsupported) of each item."""
     out = own.groupBy(*by).agg(F.avg("unsupported").alias("rate"), F.count("*").alias("n"), F.sum("scored").alias("n_claims"))
-    return out.select(*by, F.round(100 * F.col("rate"), 2).alias("unsupported_claim_rate"), F.round(100 * (1 - F.col("rate")), 2).alias("supported_claim_rate"), "n", "n_claims", F.lit("lexical_proxy").alias("mode"))
+    return out.select(*by, F.round(100 * F.col("rate"), 2).alias("unsupported_claim_rate"), F.round(100 * (1 - F.col("rate")), 2).alias("supported_claim_rate"), "n", "n_claims", F.lit(mode).alias("mode"))
 
 
 def semantic_support(claim: Column, passages: Column, threshold: float = vocab.SEMANTIC_SUPPORT) -> Column:

@@ -82,6 +82,19 @@ def test_grounding(spark):
     assert (r.unsupported_claim_rate, r.n, r.n_claims) == (50.0, 1, 2)
 
 
+def test_grounding_by_an_encoder(spark):
+    @F.udf("array<array<double>>")
+    def encoder(texts):
+        return [[1.0, 0.0] if "line" in t or "trend" in t else [0.0, float(t != "")] for t in texts]
+
+    ddl = "run int, docs array<struct<text:string>>, rationales array<struct<claim:string,principle:string>>"
+    rows = [(1, [("lines over time",), (None,)], [("a trend", ""), ("zebra", None)]), (1, [], [("x", "y")]), (1, [(None,)], [("a b", "c")])]
+    df = spark.createDataFrame(rows, ddl)
+    r = metrics.grounding(df, ["run"], F.col("docs"), F.col("rationales"), encoder).first()
+    assert (r.unsupported_claim_rate, r.supported_claim_rate, r.n, r.n_claims, r["mode"]) == (75.0, 25.0, 2, 3, "semantic")
+    assert metrics.grounding(df, ["run"], F.col("docs"), F.col("rationales")).first()["mode"] == "lexical_proxy"
+
+
 def test_latency_skips_nulls(spark):
     df = spark.createDataFrame([(1, x) for x in (1.0, 2.0, 3.0, 4.0, None, float("nan"))], "run int, latency_ms double")
     r = metrics.latency(df, ["run"]).first()
