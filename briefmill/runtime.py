@@ -53,14 +53,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` for costly work per row: a scan of fewer splits than cores is dealt out over all cores.
+    """A scan ``df`` for costly work per row: if it has fewer splits than there are cores, it is dealt out over all cores.
 
-    On large inputs the scan has more splits than there are cores and nothing is shuffled. A plan that is more than a scan
-    has partitions of its own already and stays as it is.
+    On large inputs a scan has more splits than cores and nothing is shuffled. Callers give scans with filters and
+    projections only; what is behind a shuffle has partitions of its own.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(step in plan for step in ("Join", "Aggregate", "Sort", "Window", "Repartition", "Union")):
-        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -93,12 +90,14 @@ def hash_bucket(column: Column, seed: int, buckets: int) -> Column:
 
 
 def skew_join(big: DataFrame, other: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner", limit: int = 200_000, salts: int = 32) -> DataFrame:
-    """Equi-join in which only the keys of ``big`` with more than ``limit`` rows are spread over ``salts`` tasks.
+    """Equi-join in which the keys of ``big`` with more than ``limit`` rows are spread over ``salts`` tasks.
 
-    ``counts`` has keys and n, the rows of ``big`` for each key; hot keys are at most rows / limit, so their list is
-    small. ``other`` is repeated for these only.
+    ``counts`` has keys and n, the rows of ``big`` for each key. The list of hot keys is broadcast: those with most rows,
+    BROADCAST_ROWS at most, so its size is bounded however large ``big`` is; a key beyond them has less than
+    1 / BROADCAST_ROWS of all rows and is joined as it is. ``other`` is repeated for the keys of the list only.
     """
-    hot = F.broadcast(counts.filter(F.col("n") > limit).select(*keys, F.lit(True).alias("__hot")))
+    most = counts.filter(F.col("n") > limit).orderBy(F.desc("n"), *keys).limit(BROADCAST_ROWS)
+    hot = F.broadcast(most.select(*keys, F.lit(True).alias("__hot")))
     salt = F.when(F.col("__hot"), salt_of(big, salts)).otherwise(0)
     left = big.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
     spread_out = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
