@@ -1,18 +1,19 @@
 """Texts that lost their end: a structural completeness check and a baseline of endings for each source.
 
-One pass over the texts runs a stack automaton on each whole text. From the first brace on it pushes and pops braces and
-brackets, skipping quoted strings (in double quotes, or in single quotes where the object is written so); what is open
-at the end of the text, a quote, a bracket, a code fence or a broken multibyte sequence or escape, is a cut. Behind what a
-later step may have put there (an ellipsis, a note such as [stream closed], a closing fence) the automaton looks at what
-the model wrote itself. Outside of objects, what follows the last sentence end must be nothing, symbols, or a closed bracket
-or quote. Else it is decided against baselines of the whole corpus: an ending after the last sentence counts as a
-terminator if it makes up ``SHARE`` of such endings of its source or of all sources, counted over distinct texts, so that a
-text that is sent again often weighs as one; the last entry of a list is whole if its last two
-words also end an entry that another entry follows.
+One pass over the texts runs a stack automaton on each whole text. In JSON (from a brace, or from a bracket that begins a line and holds
+values) it pushes what opens and pops what closes, each kind for itself, and skips quoted strings (in double quotes, or in
+single quotes where the object is written so). In prose it pushes the tags of markup, and in the last paragraph round and
+square brackets, quotes and code marks. What is open at the end of the text is a cut, and so is a broken multibyte sequence or
+escape, and a fence that is not closed. A closer that fits nothing on the stack leaves it as it is. Behind what a later step may have put
+there (an ellipsis, a note on a line of its own such as [stream closed], a closing fence) the automaton looks at what the model
+wrote itself. Prose of which nothing is open must end, after the last sentence, with nothing, symbols, or a closed bracket or quote. Else it
+is decided against baselines of the whole corpus: an ending after the last sentence counts as a terminator if it makes up ``SHARE`` of
+such endings of its source or of all sources, counted over distinct texts, so that a text that is sent again often weighs as
+one; the last entry of a list is whole if its last two words also end an entry that another entry follows.
 
 Defined cases: null, empty and blank texts are no case; finished text that is malformed (missing or extra commas, single
-quotes) or has no full stop is none; repeated rows are judged alike; texts of any length are scanned whole; a null source
-is a source; an empty table gives no rows.
+quotes, a bracket left open in an earlier paragraph) or has no full stop is none; repeated rows are judged alike; texts of any
+length are scanned whole; a null source is a source; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,45 +31,109 @@ from briefmill.runtime import cut, spread
 SHARE, LEAST = 0.05, 5
 DOUBLE = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}\[\]"]', re.S)
 SINGLE = re.compile(r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|[{}\[\]"']""", re.S)
-#: What a later step may have put behind the cut.
-MARK = re.compile(r"(?:\s*(?:…|\.{3,}|\[\s*(?:…|\.{3,})\s*\])|\n\s*(?:\[[^\[\]\n]*[^\W\d_]{2}[^\[\]\n]*\]|<[^<>\n/\"=]*[^\W\d_]{2}[^<>\n/\"=]*>))\s*\Z")
-#: A mark is no longer than this.
-MARK_CHARS = 120
-FENCE = re.compile(r"\s*\n```\s*\Z")
+#: Where JSON begins: a brace, or the bracket of an array that begins a line.
+JSON = re.compile(r"\{|^[^\S\n]*\[(?=\s*[{\[\"\d-])", re.M)
+BY_SINGLE = re.compile(r"[{\[\s]*+'")
+PAIRS = {"}": "{", "]": "[", ")": "(", "”": "“", "»": "«"}
+#: What a later step may have put behind the cut, besides an ellipsis: a line that is a note in brackets.
+NOTE = re.compile(r"\s*(?:\[[^\[\]]*[^\W\d_]{2}[^\[\]]*\]|<[^<>/\"=]*[^\W\d_]{2}[^<>/\"=]*>)\s*")
 SENTENCE_END = re.compile(r"[.!?。！？][\"'”’»)\]]*(?=\s|\Z)")
 CLOSED = re.compile(r"\([^()]*\)|\"[^\"]*\"|“[^”]*”|\[[^\[\]]*\]|«[^»]*»|[^\w]+", re.S)
 BULLET = re.compile(r"\s*(?:[-*•–]|\d+[.)])\s+\S")
+ESCAPE = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#x?[0-9a-fA-F]*|amp|lt|gt|quot|nbsp|apos))\Z")
+#: Elements of markup that have to be closed.
+ELEMENTS = "a abbr article aside b blockquote body button code details div em figure footer form h1 h2 h3 h4 h5 h6 head header html i main nav ol pre q s section select small span strong style sub summary sup svg table textarea title u ul"
+TAG = re.compile(rf"<(/?)({'|'.join(ELEMENTS.split())})(?:\s[^<>]*)?(>|\Z)", re.I)
+CLOSING_TAG = re.compile(r"</\w+\s*>")
+PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
+INLINE = re.compile(r"[()\[\]“”„«»\"]|`+")
 
 
 def closes(text: str, start: int) -> tuple[int, str]:
-    """The place behind the object that begins at ``start``, and "" ; or the text's length and what is open at its end."""
-    single = re.match(r"[{\[\s]*'", text[start : start + 20]) is not None
-    stack = 0
-    for m in (SINGLE if single else DOUBLE).finditer(text, start):
+    """The place behind the object or array that begins at ``start``, and "" ; or the text's length and what is open at its end."""
+    stack: list[str] = []
+    for m in (SINGLE if BY_SINGLE.match(text, start) else DOUBLE).finditer(text, start):
         mark = m.group()
         if mark in ("{", "["):
-            stack += 1
-        elif mark in ("}", "]"):
-            stack -= 1
-            if stack <= 0:
-                return m.end(), ""
+            stack.append(mark)
+        elif mark in PAIRS:
+            if stack[-1] == PAIRS[mark]:
+                stack.pop()
+                if not stack:
+                    return m.end(), ""
         elif len(mark) == 1:
             return len(text), "quote"
-    return len(text), "bracket" if stack > 0 else ""
-
-
-def without(end: re.Pattern, text: str) -> str:
-    """The text without ``end``, which is looked for at its end only."""
-    start = max(0, len(text) - MARK_CHARS)
-    found = end.search(text[start:])
-    return text[: start + found.start()].rstrip() if found else text
+    return len(text), "bracket"
+
+
+def open_markup(prose: str) -> bool:
+    """Whether an element of markup, or a tag itself, is open at the end."""
+    stack: list[str] = []
+    for m in TAG.finditer(prose):
+        name = m.group(2).lower()
+        if not m.group(3):
+            return True
+        if m.group(1):
+            if name in stack:
+                while stack.pop() != name:
+                    pass
+        elif not m.group().endswith("/>"):
+            stack.append(name)
+    return bool(stack)
+
+
+def open_inline(paragraph: str) -> str:
+    """What is open at the end of a paragraph of prose: bracket, quote, code, or nothing.
+
+    A quote opens where no word ends before it and text follows; an emoticon opens nothing."""
+    stack: list[str] = []
+    for m in INLINE.finditer(paragraph):
+        mark, before, after = m.group(), paragraph[m.start() - 1 : m.start()], paragraph[m.end() : m.end() + 1]
+        begins = not (before.isalnum() or before in (".", ",", "!", "?")) and after.strip() != ""
+        top = stack[-1] if stack else ""
+        if top[:1] == "`":
+            if mark == top:
+                stack.pop()
+        elif (mark == '"' and top == '"') or (mark in "“”" and top == "„") or (mark == "«" and top == "»") or (mark in PAIRS and top == PAIRS[mark]):
+            stack.pop()
+        elif mark in PAIRS and PAIRS[mark] in stack:
+            while stack.pop() != PAIRS[mark]:
+                pass
+        elif mark in ("(", "["):
+            if before not in (":", ";", "-"):
+                stack.append(mark)
+        elif mark[0] == "`" or (mark in '"“„«»' and begins):
+            stack.append(mark)
+    return "" if not stack else "code" if stack[-1][0] == "`" else "bracket" if stack[-1] in "([" else "quote"
+
+
+def unfenced(text: str) -> str:
+    """The text without a fence that closes it."""
+    return text[:-3].rstrip() if text.endswith("```") and text[:-3].rstrip(" \t").endswith("\n") else text
+
+
+def before_ellipsis(text: str) -> str:
+    """The text without an ellipsis at its end, which may be in brackets; read from the end, so in linear time."""
+    inner = text[:-1].rstrip() if text.endswith("]") else text
+    bare = inner[:-1] if inner.endswith("…") else inner.rstrip(".")
+    if not inner.endswith("…") and len(inner) - len(bare) < 3:
+        return text
+    if inner is text:
+        return bare.rstrip()
+    return bare.rstrip()[:-1].rstrip() if bare.rstrip().endswith("[") else text
 
 
 def written(text: str) -> str:
     """The text without what a later step may have put behind it."""
-    while (shorter := without(MARK, text)) != text:
-        text = shorter
-    return text
+    text = text.rstrip()
+    while True:
+        head, line, last = text.rpartition("\n")
+        if (shorter := before_ellipsis(text)) != text:
+            text = shorter
+        elif line and NOTE.fullmatch(last):
+            text = head.rstrip()
+        else:
+            return text
 
 
 def two(line: str) -> str:
@@ -77,15 +142,15 @@ def two(line: str) -> str:
 
 def state(text: str) -> tuple[str, str]:
     """(kind, key): cut with its reason, whole, or tail / entry with what the baselines must decide."""
-    text = text.rstrip()
     own = written(text)
-    if own.endswith("�"):
+    if own.endswith(("\ufffd", "â€")):
         return "cut", "multibyte"
-    fenced = without(FENCE, own)
+    fenced = unfenced(own)
     inner = written(fenced) if fenced != own else own
-    at = 0
-    while (start := inner.find("{", at)) >= 0:
-        at, still = closes(inner, start)
+    at, prose = 0, []
+    while begin := JSON.search(inner, at):
+        prose.append(inner[at : begin.start()])
+        at, still = closes(inner, begin.end() - 1)
         if still:
             return "cut", still
     rest = inner[at:].strip()
@@ -95,14 +160,22 @@ def state(text: str) -> tuple[str, str]:
         rest = rest[3:].strip()
     if not rest:
         return ("whole", "") if at else ("cut", "nothing")
+    if ESCAPE.search(rest[-8:]):
+        return "cut", "escape"
+    if "<" in inner and open_markup("".join([*prose, rest])):
+        return "cut", "markup"
+    if fenced == own and (still := open_inline(PARAGRAPH.split(rest)[-1])):
+        return "cut", still
+    end = len(rest)
+    while rest.endswith(">", 0, end) and (tag := rest.rfind("</", 0, end)) >= 0 and CLOSING_TAG.fullmatch(rest, tag, end):
+        end = tag
+    rest = rest[:end].rstrip()
     last = 0
     for m in SENTENCE_END.finditer(rest):
         last = m.end()
     tail = rest[last:].strip()
     if not tail or CLOSED.fullmatch(tail):
         return "whole", ""
-    if tail.endswith("\\"):
-        return "cut", "escape"
     line = rest.rsplit("\n", 1)[-1]
     if BULLET.match(line) and line.strip() in tail:
         return "entry", two(line)

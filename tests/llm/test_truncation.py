@@ -28,6 +28,24 @@ WHOLE = json.dumps({"a": [{"b": 'x "quoted" y'}], "c": "it's"})
         (WHOLE + "\n\nThe panel sho", "tail"),
         ("The panel sho\n<connection reset>", "tail"),
         ("Tiles:\n- A: bar for Gro", "entry"),
+        ('{"a":[1}}', "cut"),
+        ('[{"a": 1}, {"a": 2},', "cut"),
+        ('[{"a": 1}, {"a": 2}]', "whole"),
+        ("  [1, 2", "cut"),
+        ("<ul><li>item one.</li><li>item two.", "cut"),
+        ("<ul><li>item one.</li><li>item two.</li></ul>", "whole"),
+        ('<div class="pa', "cut"),
+        ("See the note (as agreed.", "cut"),
+        ("See (the note.\n\nAs agreed.", "whole"),
+        ('They said "keep it.', "cut"),
+        ("Er sagte „so bleibt es“.", "whole"),
+        ('A 5" screen is fine.', "whole"),
+        ("The column `order_id.", "cut"),
+        ("The value \\u00", "cut"),
+        (" " * 25 + "{'a': \"it's\"}", "whole"),
+        (WHOLE + "\n[stream closed " + "by the proxy " * 40 + "]", "whole"),
+        (WHOLE[:15] + "\n[stream closed " + "by the proxy " * 40 + "]", "cut"),
+        ("The panel sho ...", "tail"),
     ],
 )
 def test_state(text, kind):
@@ -39,7 +57,7 @@ def test_every_prefix_of_an_object_is_cut():
 
 
 def test_long_texts_in_linear_time():
-    for text in ('{"a": "' + "x" * 2_000_000, "[" * 500_000 + "{" * 500_000, " \n" * 500_000 + "a", '{"' + '\\"' * 500_000, "." * 1_000_000, "`" * 500_000):
+    for text in ('{"a": "' + "x" * 2_000_000, "[" * 500_000 + "{" * 500_000, " \n" * 500_000 + "a", '{"' + '\\"' * 500_000, "." * 1_000_000, "." * 500_000 + "a", "`" * 500_000, "(" * 300_000, "<b>" * 100_000, "[" + "1" * 500_000 + "]", "a\n" * 300_000 + "[x"):
         tr.state(text)
 
 
