@@ -1,14 +1,16 @@
 """A mix of sources by target weights, in tokens.
 
-Weights hang on the leaves of a tree (domain, language, source). A total is handed down the tree: each child gets its share
-by weight but no more than its subtree can give (tokens times the leaf's greatest number of repeats), and what one child falls short is
+Documents are the leaves' of a tree (domain, language, source); domain and language may be columns of the documents, and a source's
+weight is then split over its branches by their tokens. Weights add up the tree. A total is handed down: each child gets its share
+by weight but no more than its subtree can give (tokens times the greatest number of repeats), and what one child falls short is
 taken by its siblings, by weight, before anything is asked of other branches. Each leaf then gives whole epochs of its
 documents and, in a last epoch, a prefix of a seeded order of them. The order is by fine hash buckets in an epoch's own
-permutation, then by hash, so the prefix is found from token sums of buckets, and only the documents of one bucket are ever sorted.
+permutation, then by hash, so the prefix is found from token sums of buckets, and only the documents of one bucket are ever sorted. What the prefixes of one
+source's branches together fall short by buys the next document of some of them, so a source as a whole falls short by less than one.
 
 Defined cases: null and empty texts have no tokens and are not taken; documents whose source (null included) has no target are not
-taken; a target without documents gives its weight to its siblings; a leaf's prefix never exceeds its budget, so it falls
-short by less than one document; equal texts are documents of their own; without any usable target the mix is empty.
+taken; a null level is a branch of its own; a target without documents gives its weight to its siblings, or to all branches where
+its place is only known from documents; a source never exceeds its budget; equal texts are documents of their own; without any usable target the mix is empty.
 If no total is given, it is the largest with which every leaf that has documents reaches its share.
 """
 
@@ -19,10 +21,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from briefmill.runtime import BROADCAST_ROWS, cut, small
+from briefmill.runtime import cut, small
 
 #: Hash buckets of each leaf; a power of two.
 BUCKETS = 4096
+#: Where a level is null.
+UNKNOWN = "unknown"
 
 
 @dataclass
@@ -85,53 +89,78 @@ def largest_total(leaves: list[tuple[tuple[str, ...], float, float]]) -> float:
 
 
 def mixture(counted: DataFrame, targets: DataFrame, levels: list[str], leaf: str = "source", key: str = "doc_id", total: float | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """The mix (key, leaf, epoch, n_tokens) and its report.
+    """The mix (key, leaf, epoch, n_tokens) and its report, a row for each target.
 
-    counted: key, leaf, n_tokens of each document. targets: the columns ``levels`` (the last is ``leaf``), target_weight,
-    max_repeats; at most BROADCAST_ROWS rows, which is checked.
+    counted: key, ``leaf``, n_tokens and those of the columns ``levels`` that the documents have themselves. targets: ``leaf``, the
+    other columns of ``levels`` (the last is ``leaf``), target_weight, max_repeats. Targets and branches are a row for each leaf of
+    the tree on the driver; they are broadcast if they are counted to be few, else joined by shuffles.
     """
     spark = counted.sparkSession
-    rows = targets.select(*levels, "target_weight", "max_repeats").limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} targets")
+    inner = [x for x in levels if x != leaf]
+    here = [x for x in inner if x in counted.columns]
+    rows = targets.select(*[x for x in inner if x not in here], leaf, "target_weight", "max_repeats").collect()
     names = [r[leaf] for r in rows]
     if len(set(names)) < len(names):
         raise ValueError("a leaf has more than one target")
-    schema = f"{leaf} string, full int, partial int, budget double, rest double"
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(BUCKETS)).cast("int")
-    own = counted.filter(F.col("n_tokens") > 0).select(key, leaf, "n_tokens", bucket.alias("bucket")).join(F.broadcast(spark.createDataFrame([(n,) for n in names], f"{leaf} string")), leaf)
-    by_bucket = cut(own.groupBy(leaf, "bucket").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
-    there = {r[leaf]: (r["tokens"], r["docs"]) for r in by_bucket.groupBy(leaf).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).collect()}  # a row for each target
-    leaves = [(tuple(str(r[x]) for x in levels), float(r["target_weight"] or 0), float(there.get(r[leaf], (0, 0))[0] * (r["max_repeats"] or 0))) for r in rows]
+    wanted = small(spark.createDataFrame([(n,) for n in names], f"{leaf} string"))
+    known = [F.coalesce(F.col(x).cast("string"), F.lit(UNKNOWN)).alias(x) for x in here]
+    own = counted.filter(F.col("n_tokens") > 0).select(key, leaf, *known, "n_tokens", bucket.alias("bucket")).join(wanted, leaf)
+    branch = [*here, leaf]
+    by_bucket = cut(own.groupBy(*branch, "bucket").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
+    sums = by_bucket.groupBy(*branch).agg(F.sum("tokens").alias("tokens"), F.sum("docs").alias("docs")).orderBy(*branch).collect()
+    there: dict[str, list] = {}
+    for r in sums:
+        there.setdefault(r[leaf], []).append(r)
+    leaves, parts = [], []
+    for r in rows:
+        mine = there.get(r[leaf], [])
+        whole = sum(x["tokens"] for x in mine)
+        for x in mine or [None]:
+            # A target without documents is a branch of its own below the root.
+            path = tuple(str(x[n] if x and n in here else r[n] if n not in here else r[leaf]) for n in inner) + (str(r[leaf]),)
+            share = x["tokens"] / whole if x else 1.0
+            leaves.append((path, float(r["target_weight"] or 0) * share, float((x["tokens"] if x else 0) * (r["max_repeats"] or 0))))
+            parts.append((r, x))
     total = largest_total(leaves) if total is None else total
     given = budgets(tree_of(leaves), total) if leaves else {}
-    plan = []
-    for r, (path, _, _) in zip(rows, leaves, strict=True):
-        tokens, budget = there.get(r[leaf], (0, 0))[0], given[path]
-        full = min(int(budget / tokens + 1e-9), r["max_repeats"] or 0) if tokens else 0
-        rest = budget - full * tokens if tokens else 0.0
-        plan.append((r[leaf], full, full + 1 if rest > 0.5 and full < (r["max_repeats"] or 0) else 0, float(budget), float(max(0.0, rest))))
-    plans = F.broadcast(spark.createDataFrame(plan, schema))
+    plan, budget_of = [], dict.fromkeys(names, 0.0)
+    for (r, x), (path, _, _) in zip(parts, leaves, strict=True):
+        budget, most = given[path], r["max_repeats"] or 0
+        budget_of[r[leaf]] += budget
+        if x:
+            full = min(int(budget / x["tokens"] + 1e-9), most)
+            rest = max(0.0, budget - full * x["tokens"])
+            plan.append((*[x[n] for n in branch], full, full + 1 if rest > 0.5 and full < most else 0, rest))
+    plans = small(spark.createDataFrame(plan, ", ".join(f"{n} string" for n in branch) + ", full int, partial int, rest double"))
 
     # The last epoch's order of buckets: an odd multiplier and a start of its own.
     place = F.pmod(F.col("bucket").cast("bigint") * (2 * (F.lit(seed * 7919) + F.col("partial") * 104729) + 1) + F.col("partial") * 15485863, F.lit(BUCKETS))
-    ordered = by_bucket.join(plans, leaf).filter("partial > 0").withColumn("place", place)
-    so_far = Window.partitionBy(leaf).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = ordered.withColumn("run", F.sum("tokens").over(so_far))
-    whole = run.filter(F.col("run") <= F.col("rest")).select(leaf, "bucket", F.lit(True).alias("inside"))
-    broken = run.filter((F.col("run") > F.col("rest")) & (F.col("run") - F.col("tokens") < F.col("rest")))
-    edge = broken.select(leaf, "bucket", (F.col("rest") - (F.col("run") - F.col("tokens"))).alias("room"), "partial")
-
-    everyone = own.join(plans.select(leaf, "full", "partial"), leaf)
+    ordered = by_bucket.join(plans, branch).filter("partial > 0").withColumn("place", place)
+    so_far = Window.partitionBy(*branch).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = cut(ordered.withColumn("run", F.sum("tokens").over(so_far)).filter(F.col("run") - F.col("tokens") < F.col("rest")))
+    whole = run.filter(F.col("run") <= F.col("rest")).select(*branch, "bucket")
+    edge = run.filter(F.col("run") > F.col("rest")).select(*branch, "bucket", (F.col("rest") - (F.col("run") - F.col("tokens"))).alias("room"))
+
+    everyone = own.join(plans.select(*branch, "full", "partial"), branch)
+    out = [key, leaf, "epoch", "n_tokens"]
     epochs = everyone.filter("full > 0").select(key, leaf, F.explode(F.sequence(F.lit(1), F.col("full"))).alias("epoch"), "n_tokens")
-    prefix = everyone.filter("partial > 0").join(small(whole, 200_000), [leaf, "bucket"]).select(key, leaf, F.col("partial").alias("epoch"), "n_tokens")
-    in_bucket = Window.partitionBy(leaf).orderBy(F.xxhash64(F.lit(seed), "partial", key), key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    border = own.join(F.broadcast(edge), [leaf, "bucket"]).withColumn("run", F.sum("n_tokens").over(in_bucket)).filter(F.col("run") <= F.col("room"))
-    mix = epochs.unionByName(prefix).unionByName(border.select(key, leaf, F.col("partial").alias("epoch"), "n_tokens"))
-
-    taken = mix.groupBy(leaf).agg(F.sum("n_tokens").alias("tokens_taken"), F.countDistinct(key).alias("docs_taken"), F.max("epoch").alias("epochs"))
-    stock = spark.createDataFrame([(n, int(there.get(n, (0, 0))[0]), int(there.get(n, (0, 0))[1])) for n in names], f"{leaf} string, tokens_there bigint, docs_there bigint")
-    report = targets.select(*levels, "target_weight", "max_repeats").join(F.broadcast(stock), leaf, "left").join(plans.select(leaf, "budget"), leaf, "left").join(F.broadcast(taken), leaf, "left")
+    last = everyone.filter("partial > 0").withColumnRenamed("partial", "epoch")
+    prefix = last.join(small(whole, 200_000), [*branch, "bucket"]).select(*out)
+    in_bucket = Window.partitionBy(*branch).orderBy(F.xxhash64(F.lit(seed), "epoch", key), key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    border = last.join(small(edge), [*branch, "bucket"]).withColumn("run", F.sum("n_tokens").over(in_bucket)).filter(F.col("run") - F.col("n_tokens") <= F.col("room"))
+    # What the branches of a target fall short by, less than a document each, buys the next documents of some of them.
+    following = border.filter(F.col("run") > F.col("room")).withColumn("left", F.col("room") - (F.col("run") - F.col("n_tokens")))
+    of_target = Window.partitionBy(leaf)
+    in_order = of_target.orderBy(F.xxhash64(F.lit(seed), "epoch", key), key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bought = following.withColumn("all_left", F.sum("left").over(of_target)).withColumn("spent", F.sum("n_tokens").over(in_order)).filter(F.col("spent") <= F.col("all_left"))
+    mix = epochs.unionByName(prefix).unionByName(border.filter(F.col("run") <= F.col("room")).select(*out)).unionByName(bought.select(*out))
+
+    # A document's first epoch is 1, so documents are counted there.
+    taken = mix.groupBy(leaf).agg(F.sum("n_tokens").alias("tokens_taken"), F.sum((F.col("epoch") == 1).cast("bigint")).alias("docs_taken"), F.max("epoch").alias("epochs"))
+    stock = [(n, sum(x["tokens"] for x in there.get(n, [])), sum(x["docs"] for x in there.get(n, [])), float(budget_of[n])) for n in names]
+    known_stock = small(spark.createDataFrame(stock, f"{leaf} string, tokens_there bigint, docs_there bigint, budget double"))
+    report = targets.select(*[x for x in levels if x not in here], "target_weight", "max_repeats").join(known_stock, leaf, "left").join(small(taken), leaf, "left")
     report = report.fillna(0, ["tokens_taken", "docs_taken", "epochs"])
     # A row for each target; the whole is summed over these few rows.
     whole_mix = F.sum("tokens_taken").over(Window.partitionBy(F.lit(0)))

@@ -90,7 +90,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation rows and those found in train, for each split and source."""
     rows = table(spark, sf_dir, "briefs").filter("split IN ('val', 'test')").select("record_id", "split", "source")
-    pairs = p5_pairs(spark, sf_dir).groupBy(F.col("eval_key").alias("record_id")).agg(F.count("*").alias("n"))
+    pairs = overlap.overlap_counts(table(spark, sf_dir, "briefs"), "record_id", "split", "users", ("goals", "kpis"))
     joined = rows.join(pairs, "record_id", "left")
     out = joined.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("n").alias("n_found"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
     return out.withColumn("share_found", F.col("n_found") / F.col("n_rows"))
@@ -112,28 +112,16 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-#: Problem 9: the branch of the tree that each source belongs to; sources that aren't named here are a branch of their own.
-DOMAINS = {
-    "design_review": "reviews",
-    "rater_comment": "reviews",
-    "workshop_notes": "reviews",
-    "field_survey": "reviews",
-    "kb_guideline": "guidelines",
-    "translated_manual": "guidelines",
-    "brief_form": "forms",
-    "ticket_export": "forms",
-    "model_output": "models",
-}
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document with the branch of the tree that it belongs to: its type, the language that its label names, its source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("doc_type").alias("domain"), language.label_of(F.col("lang")).alias("language"), "text")
+    return cut(tokens.token_counts(docs, ["doc_id", "source", "domain", "language"], "text"))
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    counted = cut(tokens.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text"))
-    domain = F.lit(None).cast("string")
-    for source, name in DOMAINS.items():
-        domain = F.when(F.col("source") == source, name).otherwise(domain)
-    # The targets say nothing of languages, so each domain has one branch for all of them.
-    targets = table(spark, sf_dir, "mix_targets").withColumn("domain", F.coalesce(domain, "source")).withColumn("language", F.lit("all"))
-    return mixture.mixture(counted, targets, ["domain", "language", "source"])
+def _mixed(spark: SparkSession, sf_dir: str, everything: bool = False) -> tuple[DataFrame, DataFrame]:
+    counted = _counted(spark, sf_dir)
+    total = float(counted.agg(F.sum("n_tokens")).first()[0] or 0) if everything else None
+    return mixture.mixture(counted, table(spark, sf_dir, "mix_targets"), ["domain", "language", "source"], total=total)
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +134,11 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p9_full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a mix of as many tokens as there are in all: some sources run short, and others make up for them."""
+    return _mixed(spark, sf_dir, everything=True)[1]
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
 
@@ -166,7 +159,7 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.documents(_lines(spark, sf_dir), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_sample, p1_by_batch, p2_found, p2_unmatched, p3_digests, p3_percentiles, p4_found, p4_units, p4_raters, p4_agreement, p5_found, p5_by_source, p6_found, p6_by_source, p8_ids, p9_mix, p9_report, p10_found, p10_lines, p10_documents)}
+QUERIES = {f.__name__: f for f in (p1_sample, p1_by_batch, p2_found, p2_unmatched, p3_digests, p3_percentiles, p4_found, p4_units, p4_raters, p4_agreement, p5_found, p5_by_source, p6_found, p6_by_source, p8_ids, p9_mix, p9_report, p9_full_report, p10_found, p10_lines, p10_documents)}
 
 _DRAWN = f"((CAST('0x' || substr(md5('42:' || item_id), 1, 8) AS BIGINT) % {sample.BUCKETS}) * {sample.STEP}) % {sample.BUCKETS} < {sample.chosen(FRACTION)}"
 ORACLE = {

@@ -59,3 +59,34 @@ def test_edges(spark):
 def test_one_document_larger_than_its_budget(spark):
     mix, report = run(spark, {"a": (1, 1000), "b": (100, 1)}, [("x", "a", 0.5, 1), ("y", "b", 0.5, 1)], total=100)
     assert report["a"].tokens_taken == 0 and report["b"].tokens_taken == 50
+
+
+def test_levels_of_the_documents(spark):
+    """Domain and language are columns of the documents; a source that runs short is made up for by those of its own branch first."""
+    rows = [(n, s, d, la, 10) for n, (s, d, la) in enumerate([("a", "x", "en")] * 20 + [("b", "x", "en")] * 300 + [("b", "y", None)] * 300 + [("c", "y", "de")] * 300)]
+    counted = spark.createDataFrame(rows, "doc_id bigint, source string, domain string, language string, n_tokens bigint")
+    wanted = spark.createDataFrame([("a", 0.4, 1), ("b", 0.3, 1), ("c", 0.25, 1), ("gone", 0.05, 2)], "source string, target_weight double, max_repeats int")
+    mix, report = mi.mixture(counted, wanted, LEVELS, total=2000)
+    by_branch = {(r.source, r.domain): r.t for r in mix.join(counted.select("doc_id", "domain"), "doc_id").groupBy("source", "domain").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert by_branch["a", "x"] == 200  # all that it has, of a budget of 800
+    assert by_branch["b", "x"] > 900 and by_branch["b", "y"] < 400  # the branch of a takes what a falls short by
+    got = {r.source: r for r in report.collect()}
+    assert sum(r.tokens_taken for r in got.values()) >= 2000 - 4 * 10 and got["gone"].tokens_taken == 0
+    assert all(0 <= r.budget - r.tokens_taken < 10.001 for r in got.values())
+
+
+def test_branches_of_a_source_fall_short_together_by_less_than_a_document(spark):
+    rows = [(n, "a", f"d{n % 7}", f"l{n % 5}", 3 + n % 11) for n in range(2000)] + [(5000 + n, "b", "d0", "l0", 7) for n in range(2000)]
+    counted = spark.createDataFrame(rows, "doc_id bigint, source string, domain string, language string, n_tokens bigint")
+    wanted = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_weight double, max_repeats int")
+    _, report = mi.mixture(counted, wanted, LEVELS, total=9999)
+    assert all(0 <= r.budget - r.tokens_taken <= 14 for r in report.collect())
+
+
+def test_a_source_that_runs_short(spark, tiny):
+    from briefmill.llm import queries
+
+    rows = queries.p9_full_report(spark, tiny).collect()
+    short = [r for r in rows if r.docs_there and r.budget < 0.99 * r.target_weight * sum(x.budget for x in rows)]
+    assert short and all(r.tokens_taken <= r.budget + 1e-6 for r in rows)
+    assert abs(sum(r.share_reached for r in rows) - 1) < 1e-9
