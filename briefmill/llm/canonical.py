@@ -3,13 +3,14 @@
 Values are deduplicated, normalised (Unicode forms, look-alike letters, case, marks, wrappers and enumerations off, words
 apart, words that any entry may carry set aside), and their character n-grams looked up in an inverted index of all ways to write an entry
 (canonical, label, aliases). Candidates are scored by the weighted cosine of two views, n-grams of single words and of the
-joined words; an entry is accepted above a threshold and a margin over the next entry, where the score is not high enough
-after an exact check of the edit distance; every other value is reported as unmatched. The result is joined back to the rows
-with salted keys, so a value that a third of all rows hold is no hot spot.
+joined words. An entry is accepted above a threshold and a margin over the next entry; where the cosine does not decide by itself, an
+exact check of the edit distance follows, which also moves the score. Every other value is reported as unmatched. The result is
+joined back to the rows, values that very many rows hold with a salt, so that one that a third of all rows hold is no hot spot.
+The index is broadcast where it is counted to be small, and partitioned by n-gram where it is not; a list may be of any length.
 
 Defined cases: null and blank values have no result; ties between entries are unmatched; a value of nothing but words that
 any entry may carry ("chart") is unmatched; very long values are normalised whole and match nothing unless their words do; an empty table gives
-no rows. The reference list must have at most BROADCAST_ROWS ways of writing, which is checked.
+no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +26,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from briefmill.runtime import BROADCAST_ROWS, salted_join
+from briefmill.runtime import cut, skew_join, small
 
-#: Accepted from this cosine on, below it if the edit distance is small enough; margin of the score over the next entry.
-SURE, MARGIN = 0.9, 0.04
-#: Candidates below this cosine are not looked at; two words that share a single n-gram out of ten are above it.
-LOOK = 0.05
+#: Candidates are entries from this weighted cosine on; from SURE on they are accepted by it alone, below it the exact check of
+#: edits must agree; MARGIN is what the score must be above the next entry's.
+THRESHOLD, SURE, MARGIN = 0.1, 0.9, 0.04
 #: Words that say what kind of thing an entry is or how it is to be used, but not which.
 FILLERS = "chart charts diagram diagrams plot plots graph graphs view visual visuals viz visualisation visualization type task question analysis simple use with labels primary secondary recommended default basic a an the please maybe"
 #: Letters of other scripts that look like Latin ones.
@@ -155,39 +155,44 @@ def normalised(df: DataFrame, value: str, fillers: str = FILLERS) -> DataFrame:
 def written_ways(entries: DataFrame) -> DataFrame:
     """(field, canonical, way): every way to write an entry that the reference list names."""
     ways = F.explode(F.concat(F.array("canonical", "label"), F.coalesce("aliases", F.array().cast("array<string>"))))
-    out = entries.select("field", "canonical", ways.alias("way")).filter("trim(way) <> ''").distinct()
-    if out.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"the reference list has more than {BROADCAST_ROWS} ways of writing")
-    return out
+    return entries.select("field", "canonical", ways.alias("way")).filter("trim(way) <> ''").distinct()
 
 
-def mapped_values(values: DataFrame, entries: DataFrame, fillers: str = FILLERS) -> DataFrame:
-    """(list, value, canonical, score) for distinct (list, value); list names the field of ``entries`` that the value belongs to."""
+def inverted_index(entries: DataFrame, fillers: str = FILLERS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(field, gram, way_id, w2), (way_id, canonical, forms, way_norm) and (field, unseen) of a reference list.
+
+    w2 is the squared weight of an n-gram; an n-gram that no entry has weighs as one that a single entry has (unseen).
+    """
     ways = normalised(written_ways(entries), "way", fillers).filter("size(grams) > 0").select("field", "canonical", "forms", "grams").distinct()
-    ways = ways.withColumn("way_id", F.xxhash64("field", "canonical", "forms"))
-    posting = ways.select("field", "canonical", "way_id", F.explode("grams").alias("gram"))
+    ways = cut(ways.withColumn("way_id", F.monotonically_increasing_id()))
+    posting = ways.select("field", "way_id", F.explode("grams").alias("gram"))
     n_ways = ways.groupBy("field").agg(F.count("*").alias("n"))
-    weight = posting.groupBy("field", "gram").agg(F.count("*").alias("df")).join(F.broadcast(n_ways), "field")
+    weight = posting.groupBy("field", "gram").agg(F.count("*").alias("df")).join(n_ways, "field")
     weight = weight.select("field", "gram", F.pow(1 + F.log(F.col("n") / F.col("df")), 2).alias("w2"))
-    # An n-gram that no entry has weighs as one that a single entry has.
-    unseen = n_ways.select("field", F.pow(1 + F.log("n"), 2).alias("unseen"))
-    index = posting.join(F.broadcast(weight), ["field", "gram"])
+    index = cut(posting.join(weight, ["field", "gram"]))
     norm = index.groupBy("way_id").agg(F.sum("w2").alias("way_norm"))
-    index = index.join(F.broadcast(norm), "way_id")
+    about = cut(ways.join(norm, "way_id").select("way_id", "canonical", "forms", "way_norm"))
+    return index, about, n_ways.select("field", F.pow(1 + F.log("n"), 2).alias("unseen"))
 
-    own = normalised(values, "value", fillers).withColumn("id", F.xxhash64("list", "value"))
+
+def mapped_values(values: DataFrame, entries: DataFrame, fillers: str = FILLERS) -> DataFrame:
+    """(list, value, canonical, score) for distinct (list, value); list names the field of ``entries`` that the value belongs to."""
+    index, about, unseen = inverted_index(entries, fillers)
+    # Values are normalised once; ids are numbers that the checkpoint fixes.
+    own = cut(normalised(values, "value", fillers).withColumn("id", F.monotonically_increasing_id()))
     asked = own.select("id", F.col("list").alias("field"), F.explode("grams").alias("gram"))
-    weighed = asked.join(F.broadcast(weight), ["field", "gram"], "left").join(F.broadcast(unseen), "field", "left")
-    total = weighed.groupBy("id").agg(F.sum(F.coalesce("w2", "unseen")).alias("value_norm"))
-    hits = asked.join(F.broadcast(index), ["field", "gram"]).groupBy("id", "way_id").agg(F.sum("w2").alias("dot"), F.first("canonical").alias("canonical"), F.first("way_norm").alias("way_norm"))
-    scored = hits.join(total, "id").withColumn("cosine", F.col("dot") / F.sqrt(F.col("way_norm") * F.col("value_norm"))).filter(F.col("cosine") >= LOOK)
-    scored = scored.join(own.select("id", "forms"), "id").join(F.broadcast(ways.select("way_id", F.col("forms").alias("way_forms"))), "way_id")
-    scored = scored.withColumn("like", likeness_of("forms", "way_forms"))
-    scored = scored.withColumn("score", (F.col("cosine") + F.col("like")) / 2)
+    found = asked.join(small(index), ["field", "gram"]).groupBy("id", "way_id").agg(F.sum("w2").alias("dot"))
+    # The list's n-grams of each value and those that the list lacks, as numbers, give the length of its vector.
+    weight = small(index.groupBy("field", "gram").agg(F.first("w2").alias("w2")))
+    length = asked.join(weight, ["field", "gram"], "left").join(F.broadcast(unseen), "field", "left").groupBy("id").agg(F.sum(F.coalesce("w2", "unseen")).alias("value_norm"))
+    scored = found.join(length, "id").join(own.select("id", F.col("forms").alias("value_forms")), "id").join(small(about), "way_id")
+    scored = scored.withColumn("cosine", F.col("dot") / F.sqrt(F.col("way_norm") * F.col("value_norm"))).filter(F.col("cosine") >= THRESHOLD)
+    scored = scored.withColumn("like", likeness_of("value_forms", "forms")).withColumn("score", (F.col("cosine") + F.col("like")) / 2)
     best = scored.groupBy("id", "canonical").agg(F.max(F.struct("score", "cosine", "like")).alias("s")).select("id", "canonical", "s.*")
     by_score = Window.partitionBy("id").orderBy(F.desc("score"), "canonical")
     top = best.withColumn("rank", F.row_number().over(by_score)).withColumn("next", F.lead("score").over(by_score)).filter("rank = 1")
-    accepted = ((F.col("cosine") >= SURE) | (F.col("like") > 0)) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= MARGIN)
+    margin = F.col("score") - F.coalesce("next", F.lit(0.0)) >= MARGIN
+    accepted = margin & ((F.col("cosine") >= SURE) | (F.col("like") > 0))
     top = top.select("id", F.when(accepted, F.col("canonical")).otherwise("unmatched").alias("canonical"), "score")
     return own.select("id", "list", "value").join(top, "id", "left").select("list", "value", F.coalesce("canonical", F.lit("unmatched")).alias("canonical"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
@@ -209,5 +214,5 @@ def map_to_list(found: DataFrame, entries: DataFrame, fillers: str = FILLERS) ->
     """``found`` (from ``occurrences``) without values that are letter for letter canonical, with canonical and score."""
     known = F.broadcast(entries.select(F.col("field").alias("list"), F.col("canonical").alias("value")).distinct())
     free = found.join(known, ["list", "value"], "left_anti")
-    mapping = mapped_values(free.select("list", "value").distinct(), entries, fillers)
-    return salted_join(free, mapping, ["list", "value"])
+    counts = cut(free.groupBy("list", "value").agg(F.count("*").alias("n")))
+    return skew_join(free, mapped_values(counts.select("list", "value"), entries, fillers), ["list", "value"], counts)
