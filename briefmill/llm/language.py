@@ -2,12 +2,13 @@
 
 A line is the average of its words, a word the average of its hashed subwords (3 to 5 letters with word ends, and the word
 itself), each an embedding; a linear softmax on top. Embeddings and softmax are trained by stochastic gradient descent in numpy on
-lines of a bounded sample of labelled documents. Labels may be wrong and documents mixed, so a first model throws out lines
-that it firmly places elsewhere, and a second one is trained on the rest; its temperature is then fitted on held-out lines. A line
+lines of a bounded sample of labelled documents. A tenth of the rare lines is held out beforehand. Labels may be wrong and documents
+mixed, so a first model throws out lines that it firmly places elsewhere, and a second one is trained on the rest; its temperature is
+then fitted on the held-out lines, which no model has seen or chosen, with a share of wrong labels fitted along. A line
 whose probability is below ``REJECT``, or that is no prose, has no language.
 
 Training reads at most ``SAMPLE_DOCS`` labelled documents of at most ``SAMPLE_CHARS`` characters, those of lowest hash, so it is the same in every
-run; every line of every document is then scored.
+run; every line of every document is then scored. A model can be fitted once, saved, and given to any number of jobs.
 
 Defined cases: null, empty and blank texts and lines have no language; lines without three words of letters, or mostly of
 figures, signs, code or markup, are no prose; labels that name no known language count as missing; a null id is kept;
@@ -92,6 +93,12 @@ def buckets_of(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) & (BUCKETS - 1) for p in sorted(parts)]
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, then the same of start[1], and so on."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
+
+
 def summed(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct places, in order, and the sum of the rows of each."""
     order = np.argsort(at, kind="stable")
@@ -127,18 +134,19 @@ class Model:
         n_parts = np.array([len(p) for p in parts])
         flat = np.concatenate([np.array(p) for p in parts]) if parts else np.zeros(0, int)
         start = np.concatenate([[0], np.cumsum(n_parts)])
-        of_line = [np.array([at[w] for w in line]) for line in lines]
+        n_words = np.array([len(line) for line in lines])
+        in_lines = np.array([at[w] for line in lines for w in line])
+        line_at = np.cumsum(n_words) - n_words
         counts = np.bincount(labels, minlength=len(LANGUAGES))
         share = np.sqrt(often / np.maximum(counts, 1)[labels])
         share = share / share.sum()
         steps = max(LEAST_STEPS, EPOCHS * len(lines) // BATCH)
         for step in range(steps):
             pick = rng.choice(len(lines), BATCH, p=share)
-            own = [of_line[i] for i in pick]
-            size = np.array([len(x) for x in own])
-            joined = np.concatenate(own)
+            size = n_words[pick]
+            joined = in_lines[ragged(line_at[pick], size)]
             used, inverse = np.unique(joined, return_inverse=True)
-            cells = np.concatenate([flat[start[u] : start[u + 1]] for u in used])
+            cells = flat[ragged(start[used], n_parts[used])]
             bounds = np.concatenate([[0], np.cumsum(n_parts[used])[:-1]])
             word_vec = np.add.reduceat(self.embedding[cells], bounds) / n_parts[used][:, None]
             line_start = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -154,8 +162,8 @@ class Model:
             touched, total = summed(np.repeat(grad, n_parts[used], axis=0), cells)
             self.embedding[touched] -= rate * total
 
-    def scores(self, lines: list[list[str]]) -> np.ndarray:
-        """Probabilities of each line; lines must have words."""
+    def raw_scores(self, lines: list[list[str]]) -> np.ndarray:
+        """The softmax layer's input for each line; lines must have words."""
         if not lines:
             return np.zeros((0, len(LANGUAGES)), np.float32)
         if len(self.ids) > KEPT:
@@ -169,18 +177,32 @@ class Model:
         size = np.array([len(x) for x in lines])
         index = np.fromiter((self.ids[w] for line in lines for w in line), np.int64, int(size.sum()))
         vec = np.add.reduceat(self.vectors[index], np.concatenate([[0], np.cumsum(size)[:-1]])) / size[:, None]
-        score = vec @ self.weight / self.temperature
-        p = np.exp(score - score.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+        return vec @ self.weight
+
+    def scores(self, lines: list[list[str]]) -> np.ndarray:
+        """Probabilities of each line; lines must have words."""
+        return probabilities(self.raw_scores(lines), self.temperature)
+
+
+def probabilities(raw: np.ndarray, temperature: float) -> np.ndarray:
+    """The softmax of scores at a temperature."""
+    p = np.exp((raw - raw.max(1, keepdims=True)) / temperature) if len(raw) else raw
+    return p / p.sum(1, keepdims=True)
 
 
 def calibrated(model: Model, lines: list[list[str]], labels: np.ndarray) -> None:
-    """The temperature that makes held-out labels most probable."""
+    """The temperature that makes the labels of held-out lines most probable, some share of which is taken to be wrong.
+
+    The lines are not chosen by any model, so wrong labels are among them; their share is fitted along with the temperature."""
+    chance = (np.bincount(labels, minlength=len(LANGUAGES)) / max(1, len(labels)))[labels]
+    raw, at = model.raw_scores(lines), np.arange(len(labels))
     best = (np.inf, 1.0)
-    for temperature in np.geomspace(0.25, 4, 17):
-        model.temperature = float(temperature)
-        p = model.scores(lines)
-        loss = -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-9)).mean()
+    for temperature in np.geomspace(0.125, 8, 49):
+        right = probabilities(raw, float(temperature))[at, labels]
+        wrong = 0.1
+        for _ in range(100):  # the likeliest share of wrong labels at this temperature
+            wrong = float(np.mean(wrong * chance / np.maximum((1 - wrong) * right + wrong * chance, 1e-12)))
+        loss = -np.log(np.maximum((1 - wrong) * right + wrong * chance, 1e-9)).mean()
         best = min(best, (loss, float(temperature)))
     model.temperature = best[1]
 
@@ -205,21 +227,40 @@ def trained(lines: list[list[str]], labels: np.ndarray, often: np.ndarray, share
     """
     if not lines:
         return None
+    # A tenth of the lines that are rare is held out before anything is learned; lines that occur often are all learned from.
+    held = np.flatnonzero(often < OFTEN)[::10]
+    seen = np.setdiff1d(np.arange(len(lines)), held)
+    if len(held) < 10:
+        held, seen = np.arange(len(lines)), np.arange(len(lines))
     first = Model()
-    first.fit(lines, labels, often)
-    p = first.scores(lines)
-    sure = (p.argmax(1) == labels) | (p.max(1) < FIRM) | ((often >= OFTEN) & (share >= 0.5))
-    keep = np.flatnonzero(sure)
-    # Lines that occur often are all learned from; of the others a tenth is held out.
-    rare = keep[often[keep] < OFTEN]
-    held = rare[::10] if len(rare) > 100 else keep
-    train = np.setdiff1d(keep, held) if len(rare) > 100 else keep
+    first.fit([lines[i] for i in seen], labels[seen], often[seen])
+    p = first.scores([lines[i] for i in seen])
+    sure = (p.argmax(1) == labels[seen]) | (p.max(1) < FIRM) | ((often[seen] >= OFTEN) & (share[seen] >= 0.5))
+    train = seen[sure]
     model = Model()
     model.fit([lines[i] for i in train], labels[train], often[train])
     calibrated(model, [lines[i] for i in held], labels[held])
     return model
 
 
+def fitted(df: DataFrame, text: str, lang: str, key: str) -> Model | None:
+    """The model of the documents ``df``, to be given to ``languages`` as often as wanted; None if no document has a label."""
+    return trained(*sampled_lines(df, key, text, lang))
+
+
+def saved(model: Model, path: str) -> None:
+    """The model as a file that ``loaded`` reads again."""
+    with open(path, "wb") as out:
+        np.savez_compressed(out, embedding=model.embedding, weight=model.weight, temperature=model.temperature)
+
+
+def loaded(path: str) -> Model:
+    with np.load(path) as made:
+        model = Model()
+        model.embedding, model.weight, model.temperature = made["embedding"], made["weight"], float(made["temperature"])
+    return model
+
+
 def lines_of(df: DataFrame, key: str, text: str, keep: list[str], model: Model | None) -> DataFrame:
     """(key, keep, line_no, n_words, lang, confidence) of each line; lang is null where it is no prose or rejected."""
     spark = df.sparkSession
@@ -257,9 +298,9 @@ def lines_of(df: DataFrame, key: str, text: str, keep: list[str], model: Model |
     return out.withColumnRenamed("__key", key)
 
 
-def languages(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """(key, label, line_no, n_words, line_lang, confidence) of every line, by a model trained on ``df`` itself."""
-    model = trained(*sampled_lines(df, key, text, lang))
+def languages(df: DataFrame, key: str, text: str, lang: str, model: Model | None = None) -> DataFrame:
+    """(key, label, line_no, n_words, line_lang, confidence) of every line, by ``model`` or else one fitted to ``df`` itself."""
+    model = model or fitted(df, text, lang, key)
     return lines_of(df.withColumn("label", label_of(F.col(lang))), key, text, ["label"], model)
 
 

@@ -31,7 +31,41 @@ def found(spark):
     return la.languages(df, "doc_id", "text", "lang").collect(), la.documents(la.languages(df, "doc_id", "text", "lang"), "doc_id").collect()
 
 
-def test_held_out_lines(found):
+WORDS = {
+    "en": "the of and to in that is was for with on are this from they have one by had not but what all were when we there can an your which their said if each will other about out many then them these so some her would make like him into time has look two more write go see number no way could people".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei".split(),
+    "nl": "de het een en van ik te dat die in je niet zijn is was op aan met als voor had er maar om hem dan zou of wat mijn men dit zo door over ze zich bij ook tot je mij uit der daar haar naar heb hoe heeft hebben deze want nog zal me zij nu geen".split(),
+    "fr": "le la les de un une et être avoir à il elle ne je son que se qui ce dans en du au pour pas vous par sur faire plus dire me on mon lui nous comme mais pouvoir avec tout aller voir bien où sans tu ou leur homme si deux moi vouloir te femme venir quand".split(),
+    "es": "el la de que y a en un ser se no haber por con su para como estar tener le lo todo pero más hacer o poder decir este ir otro ese si me ya ver porque dar cuando él muy sin vez mucho saber qué sobre mi alguno mismo yo también hasta año dos querer entre así".split(),
+    "pt": "o a de que e do da em um para com não uma os no se na por mais as dos como mas ao ele das à seu sua ou quando muito nos já eu também só pelo pela até isso ela entre depois sem mesmo aos seus quem nas me esse eles você essa num nem suas meu às minha".split(),
+}
+
+
+def test_lines_kept_out_of_training(spark):
+    """Lines that no model has seen: their languages are found, and the confidence is about how often that is right."""
+    rng = np.random.default_rng(3)
+    line = lambda lang: " ".join(rng.choice(WORDS[lang], 14))
+    # A tenth of the labels is wrong.
+    learn = [(n, "\n".join(line(la) for _ in range(4)), la if n % 10 else list(WORDS)[n // 10 % 6]) for n, la in enumerate(list(WORDS) * 60)]
+    kept_out = [(10_000 + n, line(la), la) for n, la in enumerate(list(WORDS) * 60)]
+    ddl = "doc_id bigint, text string, lang string"
+    model = la.fitted(spark.createDataFrame(learn, ddl), "text", "lang", "doc_id")
+    seen = {t for _, text, _ in learn for t in text.split("\n")}
+    assert not seen & {t for _, t, _ in kept_out}
+    got = {r.doc_id: (r.line_lang, r.confidence) for r in la.languages(spark.createDataFrame(kept_out, ddl), "doc_id", "text", "lang", model).collect()}
+    right = np.mean([got[n][0] == lang for n, _, lang in kept_out])
+    assert right > 0.95 and abs(np.mean([c for _, c in got.values()]) - right) < 0.1
+
+
+def test_a_saved_model_scores_alike(spark, tmp_path):
+    df = spark.createDataFrame([(n, TEXTS[lang][n % 3], lang) for n, lang in enumerate(list(TEXTS) * 10)], "doc_id bigint, text string, lang string")
+    model = la.fitted(df, "text", "lang", "doc_id")
+    la.saved(model, f"{tmp_path}/model.npz")
+    one, two = (sorted((r.doc_id, r.line_lang, r.confidence) for r in la.languages(df, "doc_id", "text", "lang", m).collect()) for m in (model, la.loaded(f"{tmp_path}/model.npz")))
+    assert one == two
+
+
+def test_lines_learned_from(found):
     lines = [r for r in found[0] if r.doc_id is not None and r.doc_id < 6000]
     right = np.mean([r.line_lang == list(TEXTS)[r.doc_id // 1000] for r in lines])
     assert right > 0.97  # an eighth of the labels they were learned from is wrong
