@@ -212,11 +212,11 @@ def judged(df: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     return units.filter(F.col("n_raters") >= least), rated.select("rater", "n", "reliability").join(right, "rater")
 
 
-def agreement(units: DataFrame, own: DataFrame) -> DataFrame:
-    """(dimension, observed, expected, kappa): agreement of pairs of raters and what is left of it after chance."""
+def agreement(own: DataFrame) -> DataFrame:
+    """(dimension, observed, n_units, expected, kappa) of ``votes``: agreement of pairs of raters and what is left of it after chance."""
+    unit = histograms(own).filter("n > 1")  # a single rater makes no pair
+    pairs = F.aggregate("h", F.lit(0.0), lambda a, x: a + x * (x - 1)) / (F.col("n") - 1)
+    seen = unit.groupBy("dimension").agg((F.sum(pairs) / F.sum("n")).alias("observed"), F.count("*").alias("n_units"))
     share = own.groupBy("dimension", "s").agg(F.count("*").alias("k"))
-    total = share.groupBy("dimension").agg(F.sum("k").alias("t"))
-    chance = share.join(total, "dimension").groupBy("dimension").agg(F.sum(F.pow(F.col("k") / F.col("t"), 2)).alias("expected"))
-    paired = units.filter(F.col("agreement").isNotNull())  # a single rater makes no pair
-    seen = paired.groupBy("dimension").agg((F.sum(F.col("agreement") * F.col("n_raters")) / F.sum("n_raters")).alias("observed"), F.count("*").alias("n_units"))
+    chance = share.groupBy("dimension").agg((F.sum(F.col("k").cast("double") * F.col("k")) / F.pow(F.sum("k"), F.lit(2))).alias("expected"))
     return seen.join(chance, "dimension").withColumn("kappa", F.when(F.col("expected") < 1, (F.col("observed") - F.col("expected")) / (1 - F.col("expected"))))

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from briefmill.runtime import cut, small
+from briefmill.runtime import BROADCAST_ROWS, cut, small
 
 #: Hash buckets of each leaf; a power of two.
 BUCKETS = 4096
@@ -160,7 +160,7 @@ def mixture(counted: DataFrame, targets: DataFrame, levels: list[str], leaf: str
     taken = mix.groupBy(leaf).agg(F.sum("n_tokens").alias("tokens_taken"), F.sum((F.col("epoch") == 1).cast("bigint")).alias("docs_taken"), F.max("epoch").alias("epochs"))
     stock = [(n, sum(x["tokens"] for x in there.get(n, [])), sum(x["docs"] for x in there.get(n, [])), float(budget_of[n])) for n in names]
     known_stock = small(spark.createDataFrame(stock, f"{leaf} string, tokens_there bigint, docs_there bigint, budget double"))
-    report = targets.select(*[x for x in levels if x not in here], "target_weight", "max_repeats").join(known_stock, leaf, "left").join(small(taken), leaf, "left")
+    report = targets.select(*[x for x in levels if x not in here], "target_weight", "max_repeats").join(known_stock, leaf, "left").join(F.broadcast(taken) if len(names) <= BROADCAST_ROWS else taken, leaf, "left")
     report = report.fillna(0, ["tokens_taken", "docs_taken", "epochs"])
     # A row for each target; the whole is summed over these few rows.
     whole_mix = F.sum("tokens_taken").over(Window.partitionBy(F.lit(0)))

@@ -73,8 +73,8 @@ def p4_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of pairs of raters for each dimension, and what is left of it after chance."""
-    ratings = table(spark, sf_dir, "human_ratings")
-    return consensus.agreement(consensus.judged(ratings, least=1)[0], consensus.votes(ratings))
+    out = consensus.agreement(consensus.votes(table(spark, sf_dir, "human_ratings")))
+    return out.select("dimension", "n_units", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "kappa")])
 
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,16 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_sample, p1_by_batch, p2_found, p2_unmatched, p3_digests, p3_percentiles, p4_found, p4_units, p4_raters, p4_agreement, p5_found, p5_by_source, p6_found, p6_by_source, p8_ids, p9_mix, p9_report, p9_full_report, p10_found, p10_lines, p10_documents)}
 
 _DRAWN = f"((CAST('0x' || substr(md5('42:' || item_id), 1, 8) AS BIGINT) % {sample.BUCKETS}) * {sample.STEP}) % {sample.BUCKETS} < {sample.chosen(FRACTION)}"
+_MOMENT = r"CASE WHEN regexp_full_match(trim(timestamp), '\d{9,11}') THEN CAST(trim(timestamp) AS BIGINT) * 1000000 WHEN regexp_matches(timestamp, '^\s*\d+\.\d+\.\d{4}') THEN epoch_us(try_strptime(trim(timestamp), '%d.%m.%Y %H:%M:%S')) ELSE epoch_us(TRY_CAST(trim(timestamp) AS TIMESTAMP)) END"
+_VOTES = (
+    rf"t AS (SELECT *, lower(regexp_replace(rater_id, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')) AS rater, {_MOMENT} AS t FROM human_ratings WHERE unit_id IS NOT NULL), "
+    "l AS (SELECT * FROM t WHERE rater <> '' QUALIFY row_number() OVER (PARTITION BY rater, unit_id ORDER BY t DESC NULLS LAST, received_at DESC NULLS LAST, rating_id DESC) = 1), "
+    "v AS (SELECT * FROM (SELECT unit_id, rater, unnest(map_keys(scores)) AS dimension, unnest(map_values(scores)) AS s FROM l) WHERE s BETWEEN 1 AND 5)"
+)
 ORACLE = {
+    "p4_agreement": f"WITH {_VOTES}, c AS (SELECT dimension, unit_id, s, count(*) AS k FROM v GROUP BY ALL), u AS (SELECT dimension, unit_id, sum(k) AS n, sum(k * (k - 1)) AS a FROM c GROUP BY ALL HAVING sum(k) > 1), "
+    "o AS (SELECT dimension, sum(a / (n - 1)) / sum(n) AS observed, count(*) AS n_units FROM u GROUP BY dimension), e AS (SELECT dimension, sum(CAST(k AS DOUBLE) * k) / power(sum(k), 2) AS expected FROM (SELECT dimension, s, count(*) AS k FROM v GROUP BY ALL) GROUP BY dimension) "
+    "SELECT dimension, n_units, CAST(round(observed, 9) AS DOUBLE) AS observed, CAST(round(expected, 9) AS DOUBLE) AS expected, CAST(round(CASE WHEN expected < 1 THEN (observed - expected) / (1 - expected) END, 9) AS DOUBLE) AS kappa FROM o JOIN e USING (dimension)",
     "p1_sample": f"SELECT record_id, item_id, split, source, batch_no FROM briefs WHERE {_DRAWN}",
     "p1_by_batch": f"SELECT batch_no, count(*) AS n_rows, count(DISTINCT item_id) AS n_items FROM briefs WHERE {_DRAWN} GROUP BY batch_no",
 }
