@@ -7,13 +7,14 @@ evaluated in one job. References are few columns and unique by item after ``last
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefmill.functions import jsonout, text, vocab
-from briefmill.operators.relational import last_wins, zipped
-
+from briefmill.operators.relational import last_wins, value_range, zipped
+from briefmill.runtime import cut, lookup_join, small
 
 
 def token(x: Column) -> Column:
@@ -43,9 +44,10 @@ def count_of(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
-def schema_compliance(predictions: DataFrame, by: list[str], raw: str = "raw_text") -> DataFrame:
-    """Rates of parsable, complete and valid outputs over all rows; completeness counts a text without object as 0."""
-    p = jsonout.parsed_output(F.col(raw))
+def schema_compliance(predictions: DataFrame, by: list[str], raw: str = "raw_text", parsed: str | None = None) -> DataFrame:
+    """Rates of parsable, complete and valid outputs over all rows; completeness counts a text without object as 0. ``parsed`` names
+    what ``parsed_output`` made of ``raw``, if that is there already."""
+    p = F.col(parsed) if parsed else jsonout.parsed_output(F.col(raw))
     own = predictions.select(*by, p.alias("p")).select(*by, F.col("p.object").isNotNull().alias("found"), F.col("p.keys").alias("keys"), F.col("p.filled_keys").alias("filled"), F.col("p.valid").alias("valid"))
     need = len(vocab.REQUIRED_KEYS)
     covered = [count_of(F.array_contains("keys", k)).alias(f"n_{k}") for k in vocab.REQUIRED_KEYS]
@@ -65,7 +67,7 @@ def with_reference(predictions: DataFrame, references: DataFrame, item: str, ord
     """Predictions with the charts of their item's reference, the last one winning; items without a chart are left out."""
     gold = last_wins(references.filter(F.col(item).isNotNull()).select(item, order, mapping), [item], [order])
     gold = gold.select(item, charts(F.col(mapping)).alias("gold")).filter(F.size("gold") > 0)
-    return predictions.join(gold, item)
+    return lookup_join(predictions, gold, [item])
 
 
 def topk_accuracy(joined: DataFrame, by: list[str], mapping: Column, parsed: Column) -> DataFrame:
@@ -124,20 +126,49 @@ def macro_f1(joined: DataFrame, by: list[str], mapping: Column, parsed: Column,
     return classes.groupBy(*by).agg(F.round(F.avg(f1), 4).alias("macro_f1"), F.count("*").alias("n_classes"), F.sum("actual").alias("n"))
 
 
-def latency(predictions: DataFrame, by: list[str], value: str = "latency_ms") -> DataFrame:
-    """Mean and interpolated percentiles of latencies; nulls and NaN are skipped, groups without any are null.
+def latency(predictions: DataFrame, by: list[str], value: str = "latency_ms", qs: tuple[float, float] = (0.5, 0.95)) -> DataFrame:
+    """Mean and interpolated percentiles of latencies, exact; nulls and NaN are skipped, groups without any are left out.
 
-    Values are counted first, so a group that a third of all rows belong to sends its distinct values only.
+    Values are counted by narrow ranges first, which tells the ranges that hold the ranks asked for; only the values of these few
+    ranges are looked at again and counted, so no group comes together in a task.
     """
-    own = predictions.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    counted = own.groupBy(*by, value).agg(F.count("*").alias("k"))
-    return counted.groupBy(*by).agg(
-        F.sum("k").alias("n"),
-        F.round(F.sum(F.col(value) * F.col("k")) / F.sum("k"), 1).alias("avg_latency_ms"),
-        F.round(F.sum(F.col(value) * F.col("k")) / F.sum("k") / 1000, 3).alias("avg_latency_s"),
-        F.round(F.percentile(value, F.lit(0.5), F.col("k")), 1).alias("p50_latency_ms"),
-        F.round(F.percentile(value, F.lit(0.95), F.col("k")), 1).alias("p95_latency_ms"),
-    )
+    own = predictions.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("v"), value_range(F.col(value)).alias("r"))
+    ranges = cut(own.groupBy(*by, "r").agg(F.count("*").alias("k"), F.sum("v").alias("s")))
+    group = Window.partitionBy(*by)
+    placed = ranges.withColumn("n", F.sum("k").over(group)).withColumn("before", F.sum("k").over(group.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("k"))
+    at = [F.lit(q) * (F.col("n") - 1) for q in qs]
+    ranks = F.array(*[F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), f(p).cast("bigint").alias("rank")) for i, p in enumerate(at) for side, f in (("low", F.floor), ("high", F.ceil))])
+    wanted = placed.withColumn("ranks", F.filter(ranks, lambda x: (x["rank"] >= F.col("before")) & (x["rank"] < F.col("before") + F.col("k")))).filter(F.size("ranks") > 0)
+    wanted = wanted.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("r").alias("__r"), "before", "ranks")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], F.col("r") == F.col("__r"))
+    near = own.join(small(wanted), same).groupBy(*by, "r", "v", "before", "ranks").agg(F.count("*").alias("k"))
+    first = F.col("before") + F.sum("k").over(Window.partitionBy(*by, "r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("k")
+    picked = near.withColumn("first", first).select(*by, "v", "k", "first", F.explode("ranks").alias("x")).filter((F.col("x.rank") >= F.col("first")) & (F.col("x.rank") < F.col("first") + F.col("k")))
+    pick = lambda i, side: F.max(F.when((F.col("x.q") == i) & (F.col("x.side") == side), F.col("v")))
+    ends = picked.groupBy(*by).agg(*[pick(i, side).alias(f"{side}{i}") for i in range(len(qs)) for side in ("low", "high")])
+    sums = ranges.groupBy(*by).agg(F.sum("k").alias("n"), F.sum("s").alias("s"))
+    both = sums.join(small(ends.select(*[F.col(c).alias(f"__{c}") for c in by], *[c for c in ends.columns if c not in by])), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]))
+    mean = F.col("s") / F.col("n")
+    between = [F.round(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (p - F.floor(p)), 1).alias(f"p{round(100 * q)}_latency_ms") for i, (q, p) in enumerate(zip(qs, at, strict=True))]
+    return both.select(*by, "n", F.round(mean, 1).alias("avg_latency_ms"), F.round(mean / 1000, 3).alias("avg_latency_s"), *between)
+
+
+def claims_of(rationales: Column) -> Column:
+    """Claim and principle of each rationale in one text."""
+    return F.transform(F.filter(rationales, lambda r: r.isNotNull()), lambda r: F.concat_ws(" ", F.when(r["claim"] != "", r["claim"]), F.when(r["principle"] != "", r["principle"])))
+
+
+def passages_of(docs: Column) -> Column:
+    return F.transform(F.filter(docs, lambda d: d.isNotNull()), lambda d: F.coalesce(d["text"], F.lit("")))
+
+
+def supported(docs: Column, rationales: Column) -> Column:
+    """(scored, lacking): how many claims of an output can be scored, and how many of them have too few words of its passages; null
+    without passages."""
+    context = F.array_distinct(F.flatten(F.transform(passages_of(docs), text.content_words)))
+    scored = F.filter(F.transform(claims_of(rationales), text.content_words), lambda c: F.size(c) > 0)
+    lacking = F.filter(scored, lambda c: F.size(F.array_intersect(c, context)) / F.size(c) < vocab.LEXICAL_SUPPORT)
+    return F.when(F.size(docs) > 0, F.struct(F.size(scored).alias("scored"), F.size(lacking).alias("lacking")))
 
 
 def grounding(predictions: DataFrame, by: list[str], docs: Column, rationales: Column, encoder: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -145,23 +176,18 @@ def grounding(predictions: DataFrame, by: list[str], docs: Column, rationales: C
 
     encoder: makes an array of texts an array of their unit vectors; with it support is semantic, else by common words.
     """
-    claims = F.transform(F.filter(rationales, lambda r: r.isNotNull()), lambda r: F.concat_ws(" ", F.when(r["claim"] != "", r["claim"]), F.when(r["principle"] != "", r["principle"])))
-    context = F.array_distinct(F.flatten(F.transform(F.filter(docs, lambda d: d.isNotNull()), lambda d: text.content_words(F.coalesce(d["text"], F.lit(""))))))
-    own = predictions.filter(F.size(docs) > 0)
-    if encoder:
-        passages = F.transform(F.filter(docs, lambda d: d.isNotNull()), lambda d: F.coalesce(d["text"], F.lit("")))
-        own = own.select(*by, F.filter(claims, lambda c: F.trim(c) != "").alias("claims"), passages.alias("passages")).filter((F.size("claims") > 0) & (F.size("passages") > 0))
-        own = own.withColumn("claims", encoder(F.col("claims"))).withColumn("passages", encoder(F.col("passages")))
-        lacking = F.size(F.filter("claims", lambda c: ~semantic_support(c, F.col("passages"))))
-        return unsupported_rates(own.select(*by, F.size("claims").alias("scored"), (lacking / F.size("claims")).alias("unsupported")), by, "semantic")
-    own = own.select(*by, F.transform(F.filter(claims, lambda c: c != ""), text.content_words).alias("claims"), context.alias("context"))
-    own = own.withColumn("claims", F.filter("claims", lambda c: F.size(c) > 0)).filter(F.size("claims") > 0)
-    lacking = F.size(F.filter("claims", lambda c: F.size(F.array_intersect(c, F.col("context"))) / F.size(c) < vocab.LEXICAL_SUPPORT))
-    return unsupported_rates(own.select(*by, F.size("claims").alias("scored"), (lacking / F.size("claims")).alias("unsupported")), by, "lexical_proxy")
-
-
-def unsupported_rates(own: DataFrame, by: list[str], mode: str) -> DataFrame:
-    """Rates of ``grounding`` from (by, scored, unsupported) of each item."""
+    if not encoder:
+        return unsupported_rates(predictions.select(*by, supported(docs, rationales).alias("support")), by, "lexical_proxy")
+    own = predictions.select(*by, F.filter(claims_of(rationales), lambda c: F.trim(c) != "").alias("claims"), passages_of(docs).alias("passages"))
+    own = own.filter((F.size("claims") > 0) & (F.size("passages") > 0))
+    own = own.withColumn("claims", encoder(F.col("claims"))).withColumn("passages", encoder(F.col("passages")))
+    lacking = F.filter("claims", lambda c: ~semantic_support(c, F.col("passages")))
+    return unsupported_rates(own.select(*by, F.struct(F.size("claims").alias("scored"), F.size(lacking).alias("lacking")).alias("support")), by, "semantic")
+
+
+def unsupported_rates(counted: DataFrame, by: list[str], mode: str) -> DataFrame:
+    """Rates of ``grounding`` from (by, support) of each item."""
+    own = counted.filter("support.scored > 0").select(*by, F.col("support.scored").alias("scored"), (F.col("support.lacking") / F.col("support.scored")).alias("unsupported"))
     out = own.groupBy(*by).agg(F.avg("unsupported").alias("rate"), F.count("*").alias("n"), F.sum("scored").alias("n_claims"))
     return out.select(*by, F.round(100 * F.col("rate"), 2).alias("unsupported_claim_rate"), F.round(100 * (1 - F.col("rate")), 2).alias("supported_claim_rate"), "n", "n_claims", F.lit(mode).alias("mode"))
 
@@ -194,9 +220,11 @@ def robustness(predictions: DataFrame, gold: DataFrame, by: list[str], item: str
     return out.select(*by, "n_shared", "n_gold", percent(F.col("same"), F.col("n_shared")).alias("paraphrase_consistency"), F.round(accuracy, 2).alias("paraphrase_accuracy"), F.round(accuracy - before, 2).alias("paraphrase_accuracy_delta"))
 
 
-def missing_info(predictions: DataFrame, by: list[str], raw: str = "raw_text") -> DataFrame:
+def missing_info(predictions: DataFrame, by: list[str], raw: str = "raw_text", parsed: str | None = None) -> DataFrame:
     """How often outputs for reduced briefs ask back, and how often they give every key all the same."""
-    own = predictions.select(*by, text.asks_to_clarify(F.col(raw)).alias("asks"), jsonout.parsed_output(F.col(raw))["keys"].alias("keys"))
+    keys = (F.col(parsed) if parsed else jsonout.parsed_output(F.col(raw)))["keys"]
+    asks = F.col("asks") if "asks" in predictions.columns else text.asks_to_clarify(F.col(raw))
+    own = predictions.select(*by, asks.alias("asks"), keys.alias("keys"))
     out = own.groupBy(*by).agg(F.count("*").alias("n"), count_of(F.col("asks")).alias("asks"), count_of(F.size("keys") == len(vocab.REQUIRED_KEYS)).alias("all"))
     return out.select(*by, "n", percent(F.col("asks"), F.col("n")).alias("missing_info_clarification_rate"), percent(F.col("all"), F.col("n")).alias("missing_info_schema_rate"))
 

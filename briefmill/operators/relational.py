@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from briefmill.runtime import small
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the first by ``order``; null keys are a key of their own.
@@ -61,6 +63,26 @@ def average_rank(value: str, within: list[str]) -> Column:
     return F.rank().over(ordered) + (F.count("*").over(tied) - 1) / F.lit(2.0)
 
 
+def value_range(value: Column) -> Column:
+    """A whole number that grows with the value: steps of a thousandth of its size, so ranges of values are many but bounded in number."""
+    return (F.signum(value) * F.floor(F.log1p(F.least(F.abs(value), F.lit(1e300))) * 1024)).cast("bigint")
+
+
+def with_below(counted: DataFrame, within: list[str], value: str, n: str, below: str = "below") -> DataFrame:
+    """``counted`` (a row for each distinct value, ``n`` its rows) with the number of rows of smaller values in its group.
+
+    Values are summed by range, ranges are numbered, and only values of one range are ever sorted together.
+    """
+    own = counted.withColumn("__range", value_range(F.col(value)))
+    sums = own.groupBy(*within, "__range").agg(F.sum(n).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*within).orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
+    starts = sums.select(*[F.col(c).alias(f"__{c}") for c in within], F.col("__range").alias("__r"), before.alias("__before"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in within], F.col("__range") == F.col("__r"))
+    inside = Window.partitionBy(*within, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = own.join(small(starts, 200_000), same).withColumn(below, F.col("__before") + F.sum(n).over(inside) - F.col(n))
+    return out.select(*counted.columns, below)
+
+
 def pairs_of(df: DataFrame, item: str, group: str, value: str, order: dict[str, int]) -> DataFrame:
     """(a, b, item, x, y): each item's values in two groups, a before b in ``order``.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from briefmill.functions.text import cliff_magnitude
-from briefmill.operators.relational import average_rank
+from briefmill.operators.relational import average_rank, with_below
 
 PAIR = ["a", "b"]
 
@@ -91,13 +91,11 @@ def holm(df: DataFrame, p: str, order: list[str], within: list[str], alpha: floa
 def signed_ranks(pairs: DataFrame) -> DataFrame:
     """(a, b, n, w_plus, w_minus, ties) of pairs (a, b, item, x, y): differences of 0 dropped, ranks averaged.
 
-    Sizes of differences are counted before they are ranked, so what is sorted is a row for each distinct size.
+    Sizes of differences are counted before they are ranked, and ranked by ranges, so no task sorts the sizes of a whole pair.
     """
     own = pairs.withColumn("d", F.round(F.col("x") - F.col("y"), 12)).filter("d <> 0")
     sizes = own.groupBy(*PAIR, F.abs("d").alias("size")).agg(F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("plus"), F.count("*").alias("k"))
-    below = F.coalesce(F.sum("k").over(Window.partitionBy(*PAIR).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = below + (F.col("k") + 1) / F.lit(2.0)
-    ranked = sizes.withColumn("rank", rank)
+    ranked = with_below(sizes, PAIR, "size", "k").withColumn("rank", F.col("below") + (F.col("k") + 1) / F.lit(2.0))
     return ranked.groupBy(*PAIR).agg(
         F.sum("k").alias("n"),
         F.sum(F.col("rank") * F.col("plus")).alias("w_plus"),
@@ -166,12 +164,11 @@ def friedman(scores: DataFrame, item: str, methods: list[str]) -> DataFrame:
 def cliffs_delta(pairs: DataFrame) -> DataFrame:
     """(a, b, delta, magnitude) of two independent samples, from ranks: no value is compared with another.
 
-    Values are counted first, so what is sorted is a row for each distinct value.
+    Values are counted first, and ranked by ranges, so no task sorts the values of a whole pair.
     """
     long = pairs.select(*PAIR, F.explode(F.array(F.struct(F.lit(1).alias("of_a"), F.col("x").alias("v")), F.struct(F.lit(0).alias("of_a"), F.col("y").alias("v")))).alias("s")).select(*PAIR, "s.of_a", "s.v")
     counted = long.filter(F.col("v").isNotNull()).groupBy(*PAIR, "v").agg(F.sum("of_a").alias("k_a"), F.count("*").alias("k"))
-    below = F.coalesce(F.sum("k").over(Window.partitionBy(*PAIR).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = counted.withColumn("rank", below + (F.col("k") + 1) / F.lit(2.0)).groupBy(*PAIR).agg(F.sum(F.col("rank") * F.col("k_a")).alias("r"), F.sum("k_a").alias("n_a"), F.sum(F.col("k") - F.col("k_a")).alias("n_b"))
+    sums = with_below(counted, PAIR, "v", "k").withColumn("rank", F.col("below") + (F.col("k") + 1) / F.lit(2.0)).groupBy(*PAIR).agg(F.sum(F.col("rank") * F.col("k_a")).alias("r"), F.sum("k_a").alias("n_a"), F.sum(F.col("k") - F.col("k_a")).alias("n_b"))
     u = F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / F.lit(2.0)
     delta = F.when((F.col("n_a") == 0) | (F.col("n_b") == 0), 0.0).otherwise(2.0 * u / (F.col("n_a") * F.col("n_b")) - 1)
     return sums.select(*PAIR, F.round(delta, 4).alias("delta"), cliff_magnitude(delta).alias("magnitude"))
@@ -192,39 +189,34 @@ def bootstrap_ci(values: np.ndarray, statistic: Callable[[np.ndarray], np.ndarra
     return float(f(x)), float(low), float(high)
 
 
+#: Blocks of items that a bootstrap over a DataFrame resamples.
+BLOCKS = 8192
+
+
 def bootstrap_means(df: DataFrame, by: list[str], item: str, value: str, n_boot: int = 10_000, ci: float = 0.95, seed: int = 42) -> DataFrame:
-    """(by, n, point, ci_low, ci_high): intervals of means for groups of any size, in one pass.
+    """(by, n, point, ci_low, ci_high): intervals of means for groups of any size, from ``n_boot`` resamples.
 
-    Each value takes part in each of ``n_boot`` resamples as often as a Poisson draw seeded by its item says, so resamples are
-    sums that are combined before the shuffle and no group comes together in a task.
+    Items are dealt by hash into BLOCKS blocks and summed there, combined before the shuffle. A resample takes each block
+    as often as a Poisson draw says, which block and seed fix. Up to some thousands of items nearly every block is one item;
+    beyond, blocks are random groups of equal expected size, whose resampled means vary as those of items do.
     """
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-
-    def partial(parts):  # noqa: ANN001, ANN202
-        sums: dict[tuple, list[np.ndarray]] = {}
-        for pdf in parts:
-            for key, own in pdf.groupby(by, dropna=False):
-                mine = sums.setdefault(key, [np.zeros(n_boot), np.zeros(n_boot), np.zeros(2)])
-                for at in range(0, len(own), 500):
-                    piece = own.iloc[at : at + 500]
-                    x = piece["__v"].to_numpy(float)
-                    times = np.stack([np.random.default_rng([seed, int(h) & 0xFFFFFFFF]).poisson(1.0, n_boot) for h in piece["__h"]])
-                    mine[0] += times.T @ x
-                    mine[1] += times.sum(0)
-                    mine[2] += (x.sum(), len(x))
-        rows = [(*[None if isinstance(k, float) and math.isnan(k) else k for k in key], s.tolist(), n.tolist(), t.tolist()) for key, (s, n, t) in sums.items()]
-        yield pd.DataFrame(rows, columns=[*by, "s", "n", "t"])
-
-    slim = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"), F.xxhash64(item).alias("__h"))
-    parts = slim.mapInPandas(partial, f"{kinds}, s array<double>, n array<double>, t array<double>")
+    block = F.pmod(F.xxhash64(F.lit(seed), item), F.lit(BLOCKS)).cast("int").alias("block")
+    slim = df.filter(F.col(value).isNotNull()).select(*by, block, F.col(value).cast("double").alias("v"))
+    blocks = slim.groupBy(*by, "block").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, n, t = (np.sum(np.stack(pdf[c].to_numpy()), axis=0) for c in ("s", "n", "t"))
-        means = s[n > 0] / n[n > 0]
-        low, high = np.percentile(means, [50 * (1 - ci), 50 * (1 + ci)])
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "n": int(t[1]), "point": t[0] / t[1], "ci_low": low, "ci_high": high}])
-
-    return parts.groupBy(*by).applyInPandas(finish, f"{kinds}, n bigint, point double, ci_low double, ci_high double")
+        pdf = pdf.sort_values("block")
+        s, n = pdf.s.to_numpy(float), pdf.n.to_numpy(float)
+        sums, sizes = np.zeros(n_boot), np.zeros(n_boot)
+        for at in range(0, len(pdf), 256):
+            times = np.stack([np.random.default_rng([seed, int(b)]).poisson(1.0, n_boot) for b in pdf.block.iloc[at : at + 256]])
+            sums += times.T @ s[at : at + 256]
+            sizes += times.T @ n[at : at + 256]
+        low, high = np.percentile(sums[sizes > 0] / sizes[sizes > 0], [50 * (1 - ci), 50 * (1 + ci)])
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "n": int(n.sum()), "point": s.sum() / n.sum(), "ci_low": low, "ci_high": high}])
+
+    return blocks.groupBy(*by).applyInPandas(finish, f"{kinds}, n bigint, point double, ci_low double, ci_high double")
 
 
 def bootstrap_difference(pairs: DataFrame, item: str, n_boot: int = 10_000, ci: float = 0.95, seed: int = 42) -> DataFrame:

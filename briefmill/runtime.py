@@ -52,12 +52,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Steps of a plan behind which its partitions are no longer those of a scan.
+SHUFFLING = {"Join", "Aggregate", "Sort", "Window", "Repartition", "RepartitionByExpression", "Union", "Distinct"}
+
+
+def steps(df: DataFrame) -> set[str]:
+    """The names of the steps of a plan."""
+    found, todo = set(), [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        step = todo.pop()
+        found.add(step.nodeName())
+        below = step.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    return found
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan ``df`` for costly work per row: if it has fewer splits than there are cores, it is dealt out over all cores.
+    """``df`` for costly work per row: a scan of fewer splits than cores is dealt out over all cores.
 
-    On large inputs a scan has more splits than cores and nothing is shuffled. Callers give scans with filters and
-    projections only; what is behind a shuffle has partitions of its own.
+    On large inputs the scan has more splits than there are cores and nothing is shuffled. A plan that is more than a scan
+    has partitions of its own already and stays as it is.
     """
+    if steps(df) & SHUFFLING:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -103,3 +120,12 @@ def skew_join(big: DataFrame, other: DataFrame, keys: list[str], counts: DataFra
     spread_out = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     right = other.join(hot, keys, "left").withColumn("__salt", spread_out).drop("__hot")
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
+def lookup_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join of many rows with a table that is unique in ``keys``: broadcast if that is counted to be small, so ``big`` is not
+    shuffled; else hot keys of ``big`` are salted."""
+    few = small(other)
+    if few is not other:
+        return big.join(few, keys, how)
+    return skew_join(big, other, keys, big.groupBy(*keys).agg(F.count("*").alias("n")), how)

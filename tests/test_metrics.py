@@ -148,3 +148,47 @@ def test_relational(spark):
     z = spark.createDataFrame([([1, 2, 3], [9])], "a array<int>, b array<int>").select(relational.zipped(F.col("a"), F.col("b")).alias("z")).first().z
     assert [tuple(x) for x in z] == [(1, 9)]
     assert relational.pool([df.limit(0), df], "k", "o").count() == 2
+
+
+def test_latency_percentiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.lognormal(6, 2, 3001).tolist(), "b": [5.0] * 100, None: [-3.0, 0.0, 1e12, 2.5], "c": rng.integers(0, 9, 777).astype(float).tolist(), "one": [7.25]}
+    rows = [(g, v, "clash") for g, values in groups.items() for v in values] + [("a", None, "x"), ("a", float("nan"), "x"), ("none", None, "x")]
+    got = {r.g: r for r in metrics.latency(spark.createDataFrame(rows, "g string, latency_ms double, r string"), ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert got[g].n == len(values) and got[g].avg_latency_ms == pytest.approx(np.mean(values), abs=0.051, rel=1e-9)
+        for q, name in ((0.5, "p50_latency_ms"), (0.95, "p95_latency_ms")):
+            assert got[g][name] == pytest.approx(np.quantile(values, q), abs=0.051, rel=1e-9)
+
+
+def test_rows_of_smaller_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    values = np.unique(np.concatenate([rng.normal(0, 50, 400).round(3), [0.0, -1e9, 1e250, 0.0004, -0.0004]]))
+    rows = [(g, float(v), int(k)) for g in ("a", None) for v, k in zip(values, rng.integers(1, 5, len(values)), strict=True)]
+    got = relational.with_below(spark.createDataFrame(rows, "g string, v double, k bigint"), ["g"], "v", "k").collect()
+    assert len(got) == len(rows) and all(r.below == sum(k for g, v, k in rows if g == r.g and v < r.v) for r in got)
+
+
+def test_dense_in_blocks_equals_dense_at_once(spark, tiny, monkeypatch):
+    own = spark.read.parquet(f"{tiny}/embeddings.parquet")
+    asked = own.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "embedding")
+    run = lambda: sorted(map(tuple, retrieval.dense_topk(asked, own, "q", "vec_id", "embedding", 3, True).select("q", "vec_id", "rank").collect()))
+    whole = run()
+    monkeypatch.setattr(retrieval, "FLOATS", 600)
+    assert run() == whole and len(whole) > 0
+
+
+def test_dense_with_an_embedder(spark):
+    chunks = spark.createDataFrame([("a", "use a line chart for trends"), ("b", "contrast ratio"), ("c", None)], "id string, text string")
+    asked = spark.createDataFrame([(1, "line chart"), (2, "zzz"), (3, None)], "q int, t string")
+    hits = retrieval.RETRIEVERS.get("dense")(asked, chunks, "q", "t", "id", "text", 2).collect()
+    assert [(h.q, h.id, h["rank"]) for h in hits] == [(1, "a", 1)]
+    own = lambda text: F.array(F.length(text).cast("float"), F.lit(1.0).cast("float"))
+    assert retrieval.embedded_topk(asked, chunks, "q", "t", "id", "text", 1, own).count() == 3
+    with pytest.raises(KeyError):
+        retrieval.embedded_topk(asked, chunks, "q", "t", "id", "text", 1, "none")

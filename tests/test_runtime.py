@@ -34,3 +34,24 @@ def test_hash_bucket_and_checkpoint(spark):
     row = spark.createDataFrame([("a",)], "k string").select(runtime.hash_bucket(F.col("k"), 42, 1000).alias("b")).first()
     assert row.b == int(hashlib.md5(b"42:a").hexdigest()[:8], 16) % 1000
     assert runtime.cut(spark.range(5)).count() == 5 and runtime.shared_dir(spark)
+
+
+def test_lookup_join_is_whole_either_way(spark, monkeypatch):
+    big = spark.range(300).select((F.col("id") % 7).alias("k"), "id")
+    other = spark.createDataFrame([(n, n * n) for n in range(5)], "k bigint, v bigint")
+    few = sorted(map(tuple, runtime.lookup_join(big, other, ["k"], "left").select("k", "id", "v").collect()), key=str)
+    monkeypatch.setattr(runtime, "small", lambda df, *_: df)
+    assert few == sorted(map(tuple, runtime.lookup_join(big, other, ["k"], "left").select("k", "id", "v").collect()), key=str)
+
+
+def test_a_name_is_no_step(spark):
+    df = spark.range(3).select(F.col("id").alias("Join Sort Window"))
+    assert not runtime.steps(df) & runtime.SHUFFLING and runtime.steps(df.groupBy("Join Sort Window").count()) & runtime.SHUFFLING
+
+
+def test_hot_keys_beyond_the_list_are_joined_as_they_are(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 2)
+    big = spark.range(200).select((F.col("id") % 8).alias("k"), "id")
+    other = spark.range(8).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = runtime.skew_join(big, other, ["k"], big.groupBy("k").agg(F.count("*").alias("n")), limit=3, salts=4)
+    assert got.count() == 200 and got.filter("v <> 2 * k").count() == 0
