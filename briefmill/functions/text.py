@@ -45,8 +45,8 @@ def all_but_last(items: Column) -> Column:
 
 
 def listed(items: Column) -> Column:
-    """Elements joined by commas, N/A without any."""
-    return F.when(items.isNull() | (F.size(items) == 0), "N/A").otherwise(F.array_join(items, ", "))
+    """Elements joined by commas; the stand-in for missing values without any."""
+    return F.when(items.isNull() | (F.size(items) == 0), vocab.MISSING).otherwise(F.array_join(items, ", "))
 
 
 def columns_listed(columns: Column) -> Column:
@@ -55,30 +55,22 @@ def columns_listed(columns: Column) -> Column:
 
 
 def or_none(text: Column) -> Column:
-    return F.when(text.isNull() | (text == ""), "None").otherwise(text)
+    return F.when(text.isNull() | (text == ""), vocab.NO_CONSTRAINTS).otherwise(text)
+
+
+def brief_fields(users: Column, goals: Column, kpis: Column, columns: Column, constraints: Column) -> list[Column]:
+    """A line for each field of a brief, its label in bold."""
+    shown = {"users": F.coalesce(users, F.lit(vocab.MISSING)), "goals": listed(goals), "kpis": listed(kpis), "columns": columns_listed(columns), "constraints": or_none(constraints)}
+    return [F.concat(F.lit(f"**{label}:** "), shown[name]) for name, label in vocab.BRIEF_LABELS.items()]
 
 
 def user_message(users: Column, goals: Column, kpis: Column, columns: Column, constraints: Column) -> Column:
     """The user's turn of a prompt for a brief."""
     keys = [F.lit(f"  {i}. {key}") for i, key in enumerate(vocab.REQUIRED_KEYS, 1)]
-    lines = [
-        F.lit(vocab.USER_OPENING),
-        F.lit(""),
-        F.concat(F.lit("**Users:** "), F.coalesce(users, F.lit("N/A"))),
-        F.concat(F.lit("**Goals:** "), listed(goals)),
-        F.concat(F.lit("**KPIs:** "), listed(kpis)),
-        F.concat(F.lit("**Data columns:** "), columns_listed(columns)),
-        F.concat(F.lit("**Constraints:** "), or_none(constraints)),
-        F.lit(""),
-        F.lit(vocab.USER_KEYS),
-        *keys,
-        F.lit(""),
-        F.lit(vocab.USER_MAPPING),
-        F.lit(f"Allowed task_type values: {', '.join(vocab.TASKS)}."),
-        F.lit(f"Allowed chart_type values: {', '.join(vocab.CHARTS)}."),
-        F.lit(vocab.USER_RATIONALES),
-    ]
-    return F.concat_ws("\n", *lines)
+    allowed = [F.lit(f"Allowed {name} values: {', '.join(values)}.") for name, values in (("task_type", vocab.TASKS), ("chart_type", vocab.CHARTS))]
+    fields = brief_fields(users, goals, kpis, columns, constraints)
+    blank = F.lit("")
+    return F.concat_ws("\n", F.lit(vocab.USER_OPENING), blank, *fields, blank, F.lit(vocab.USER_KEYS), *keys, blank, F.lit(vocab.USER_MAPPING), *allowed, F.lit(vocab.USER_RATIONALES))
 
 
 def messages(user: Column, system: str = vocab.SYSTEM_PROMPT) -> Column:
@@ -108,24 +100,20 @@ def passages_block(passages: Column) -> Column:
 
 
 def brief_markdown(users: Column, goals: Column, kpis: Column, columns: Column, constraints: Column) -> Column:
-    rows = [
-        F.concat(F.lit("**Users:** "), F.coalesce(users, F.lit("N/A"))),
-        F.concat(F.lit("**Goals:** "), listed(goals)),
-        F.concat(F.lit("**KPIs:** "), listed(kpis)),
-        F.concat(F.lit("**Data columns:** "), columns_listed(columns)),
-        F.concat(F.lit("**Constraints:** "), or_none(constraints)),
-    ]
-    return F.concat_ws("\n\n", *rows)
+    """A brief as a rater sees it."""
+    return F.concat_ws("\n\n", *brief_fields(users, goals, kpis, columns, constraints))
 
 
 def brief_line(users: Column, goals: Column, kpis: Column, constraints: Column) -> Column:
     """A brief as a judge sees it."""
-    return F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), value) for name, value in (("Users", F.coalesce(users, F.lit(""))), ("Goals", F.coalesce(F.array_join(goals, ", "), F.lit(""))), ("KPIs", F.coalesce(F.array_join(kpis, ", "), F.lit(""))), ("Constraints", F.coalesce(constraints, F.lit("None"))))])
+    joined = {"users": users, "goals": F.array_join(goals, ", "), "kpis": F.array_join(kpis, ", "), "constraints": F.coalesce(constraints, F.lit(vocab.NO_CONSTRAINTS))}
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{vocab.BRIEF_LABELS[name]}: "), F.coalesce(value, F.lit(""))) for name, value in joined.items()])
 
 
 def judge_prompt(brief: Column, output: Column, dimensions: list[str]) -> Column:
     wanted = "\n".join(f"- {d}" for d in dimensions)
-    return F.concat(F.lit(f"{vocab.JUDGE_OPENING}\n\nDimensions:\n{wanted}\n\nBRIEF:\n"), F.coalesce(brief, F.lit("(brief unavailable)")), F.lit("\n\nRECOMMENDATION:\n"), F.coalesce(output, F.lit("")), F.lit("\n\nJSON scores:"))
+    heads = [F.lit(p) for p in vocab.JUDGE_PARTS]
+    return F.concat(F.lit(vocab.JUDGE_OPENING), heads[0], F.lit(wanted), heads[1], F.coalesce(brief, F.lit(vocab.NO_BRIEF)), heads[2], F.coalesce(output, F.lit("")), heads[3])
 
 
 def asks_to_clarify(text: Column) -> Column:

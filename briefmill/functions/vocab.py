@@ -108,6 +108,27 @@ TOP3_VALID = 0.5
 LOW_ALPHA = 0.667
 CLIFF = [(0.147, "negligible"), (0.33, "small"), (0.474, "medium")]
 
+# Sections of an output as raters see it (title, key, form), the head of its table, and what stands for an output that
+# could not be parsed.
+SECTIONS = [
+    ("Context summary", "context_summary", "pairs"),
+    ("KPI → chart mapping", "kpi_chart_mapping", "table"),
+    ("Layout", "layout", "pairs"),
+    ("Styling", "styling", "pairs"),
+    ("Interactions", "interactions", "items"),
+    ("Rationales", "rationales", "reasons"),
+]
+TABLE_HEAD = ["", "| KPI | Task | Chart | Alternatives |", "|---|---|---|---|"]
+RAW_LEAD = "_Could not parse a structured recommendation; raw model output:_\n\n```\n"
+NO_OUTPUT = "(no output produced)"
+RAW_CHARS = 4000
+
+# Labels of a brief's fields, what stands for those that are missing, and what stands around brief and output in a
+# judge's prompt.
+BRIEF_LABELS = {"users": "Users", "goals": "Goals", "kpis": "KPIs", "columns": "Data columns", "constraints": "Constraints"}
+MISSING, NO_CONSTRAINTS, NO_BRIEF = "N/A", "None", "(brief unavailable)"
+JUDGE_PARTS = ("\n\nDimensions:\n", "\n\nBRIEF:\n", "\n\nRECOMMENDATION:\n", "\n\nJSON scores:")
+
 # Texts of prompts.
 SYSTEM_PROMPT = (
     "You are an expert dashboard design consultant.\n"

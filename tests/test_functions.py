@@ -47,34 +47,69 @@ def test_drop_info(spark):
 
 
 @pytest.mark.parametrize(("given", "task", "chart"), [("comp", "comparison", None), ("", "trend", "line"), ("bar chart", None, "bar"), ("grouped", None, "grouped_bar"), (" Time Series ", "trend", None), (None, None, None), ("funnel", None, "sankey")])
-def test_normal_enum_equals_its_python_form(spark, given, task, chart):
+def test_normal_enum(spark, given, task, chart):
     a = one(spark, text.normal_enum(F.col("v"), vocab.TASKS, vocab.TASK_ALIASES), "v string", given)
     b = one(spark, text.normal_enum(F.col("v"), vocab.CHARTS, vocab.CHART_ALIASES), "v string", given)
-    assert (a, b) == (task, chart) == (jsonout.as_value(given, vocab.TASKS, vocab.TASK_ALIASES), jsonout.as_value(given, vocab.CHARTS, vocab.CHART_ALIASES))
+    assert (a, b) == (task, chart)
 
 
 @pytest.mark.parametrize(
     ("given", "made"),
-    [('{"a":1} xyz', {"a": 1}), ('{"a":1,"a":2}', {"a": 2}), ('{"a":"x\ny"}', {"a": "x\ny"}), ("[1]", None), ('{"a":1,}', None), ("{'a':1}", None), ("", None), (None, None), ('{"a":1}{"b":2}', None), ('{"a":01}', None), ('[{"a":1}]', {"a": 1}), ('```json\n{"a": 1}\n``` {"b"', {"a": 1})],
+    [('{"a":1} xyz', {"a": 1}), ('{"a":1,"a":2}', {"a": 2}), ('{"a":"x\ny"}', {"a": "x\ny"}), ("[1]", None), ('{"a":1,}', None), ("{'a':1}", None), ("", None), (None, None), ('{"a":1}{"b":2}', None), ('{"a":01}', None), ('[{"a":1}]', {"a": 1}), ('```json\n{"a": 1}\n``` {"b"', {"a": 1}), ('```\n{"a": "}"}\n```', {"a": "}"}), ('{"a": {"b": 1}} }', None), ('x { y {"a":1}', None), ("[" * 100_000, None), ('{"a":' * 100_000, None)],
 )
 def test_find_object(given, made):
     assert jsonout.find_object(given) == made
 
 
-def test_parse_output():
-    full = {k: [] if k in ("kpi_chart_mapping", "interactions", "rationales") else {} for k in vocab.REQUIRED_KEYS}
-    ok = jsonout.parse_output(json.dumps(full))
+def parsed(spark, value):
+    return one(spark, jsonout.parsed_output("t"), "t string", value if value is None or isinstance(value, str) else json.dumps(value))
+
+
+FULL = {k: [] if k in ("kpi_chart_mapping", "interactions", "rationales") else {} for k in vocab.REQUIRED_KEYS}
+
+
+def test_parse_output(spark):
+    ok = parsed(spark, FULL)
     assert ok["valid"] and ok["error"] is None and ok["filled_keys"] == [] and len(ok["keys"]) == 6
-    bad = jsonout.parse_output(json.dumps(full | {"kpi_chart_mapping": [{"task_type": "trend", "chart_type": "column chart"}], "rationales": ["why", 3], "interactions": {"type": "x"}}))
-    assert not bad["valid"] and bad["mapping"][0]["chart_type"] == "bar" and bad["rationales"] == [{"claim": "why", "principle": ""}] and bad["interactions"] == ['{"type": "x"}']
-    assert jsonout.parse_output("none")["error"] == "no_json_found"
-    assert jsonout.parse_output('{"layout": 3}')["error"] == "schema_error"
+    bad = parsed(spark, FULL | {"kpi_chart_mapping": [{"task_type": "trend", "chart_type": "column chart"}], "rationales": ["why", 3], "interactions": {"type": "x"}})
+    assert not bad["valid"] and bad["mapping"][0]["chart_type"] == "bar" and [r.asDict() for r in bad["rationales"]] == [{"claim": "why", "principle": ""}] and bad["interactions"] == ['{"type": "x"}']
+    assert parsed(spark, "none")["error"] == "no_json_found"
+    assert parsed(spark, '{"layout": 3}')["error"] == "schema_error"
+
+
+def test_repair_of_entries(spark):
+    entry = {"kpi": "a", "task_type": " Trend-based", "chart_type": "Line Graph", "alternatives": ["column", 3, None, "zzz", " Pie "], "encoding": {"x": "d"}}
+    out = parsed(spark, FULL | {"kpi_chart_mapping": [entry, {"task_type": "zzz", "chart_type": "bar", "kpi": 3}, "no entry", None]})
+    assert out["error"] is None and [m.asDict() for m in out["mapping"]] == [{"kpi": "a", "task_type": "trend", "chart_type": "line", "alternatives": ["bar", "pie"], "encoding": '{"x": "d"}'}]
+    assert parsed(spark, FULL | {"kpi_chart_mapping": [entry | {"kpi": 3}]})["error"] == "schema_error"
+    assert parsed(spark, FULL | {"kpi_chart_mapping": [entry | {"encoding": "x"}]})["error"] == "schema_error"
+    assert parsed(spark, FULL | {"kpi_chart_mapping": {}})["error"] == parsed(spark, FULL | {"rationales": [{"claim": 3}]})["error"] == "schema_error"
+    none = parsed(spark, None)
+    assert (none["error"], none["mapping"], none["keys"], none["valid"]) == ("no_json_found", None, [], False)
+
+
+def test_contract_is_a_schema():
+    good = FULL | {"kpi_chart_mapping": [{"task_type": "trend", "chart_type": "line"}]}
+    assert jsonout.obeys(good, jsonout.CONTRACT) and jsonout.obeys({}, jsonout.PARTIAL) and not jsonout.obeys({}, jsonout.CONTRACT)
+    for wrong in ({"layout": []}, {"kpi_chart_mapping": [{"task_type": "trend"}]}, {"kpi_chart_mapping": [{"task_type": "trend", "chart_type": "column"}]}, {"rationales": ["x"]}, {"interactions": {}}):
+        assert not jsonout.obeys(good | wrong, jsonout.CONTRACT)
+
+
+def test_judge_scores(spark):
+    scores = lambda t: one(spark, jsonout.judge_scores(F.col("t"), list(vocab.RUBRIC)), "t string", t)
+    assert scores('reasoning... {"chart_appropriateness": 5, "overall_usefulness": "3", "layout_quality": "x", "styling_accessibility": 9}') == {"chart_appropriateness": 5, "overall_usefulness": 3, "styling_accessibility": 5}
+    assert scores("no") is None and scores("{}") is None and scores(None) is None and scores('{"layout_quality": NaN}') is None
+    assert scores('{"layout_quality": 2.5, "overall_usefulness": 3.5}') == {"layout_quality": 2, "overall_usefulness": 4}
 
 
-def test_judge_scores():
-    assert jsonout.judge_scores('reasoning... {"chart_appropriateness": 5, "overall_usefulness": "3", "layout_quality": "x", "styling_accessibility": 9}', list(vocab.RUBRIC)) == {"chart_appropriateness": 5, "overall_usefulness": 3, "styling_accessibility": 5}
-    assert jsonout.judge_scores("no", list(vocab.RUBRIC)) is None and jsonout.judge_scores("{}", list(vocab.RUBRIC)) is None
-    assert jsonout.judge_scores('{"layout_quality": 2.5, "overall_usefulness": 3.5}', list(vocab.RUBRIC)) == {"layout_quality": 2, "overall_usefulness": 4}
+def test_rendered_outputs(spark):
+    show = lambda t: one(spark, jsonout.rendered(jsonout.parsed_output("t"), F.col("t")), "t string", t)
+    assert show("x" * 5000) == vocab.RAW_LEAD + "x" * 4000 + "\n```" and vocab.NO_OUTPUT in show(None) and vocab.NO_OUTPUT in show("")
+    full = {"context_summary": {"audience": "all", "n": 3}, "kpi_chart_mapping": [{"kpi": "a", "task_type": "trend", "chart_type": "line", "alternatives": ["bar", "pie"]}], "layout": {}, "interactions": ["drill"], "rationales": [{"claim": "c", "principle": "p"}]}
+    assert show(json.dumps(full)) == (
+        "**Context summary**\n- audience: all\n- n: 3\n\n**KPI → chart mapping**\n\n| KPI | Task | Chart | Alternatives |\n|---|---|---|---|\n| a | trend | line | bar, pie |\n\n"
+        "**Interactions**\n- drill\n\n**Rationales**\n- c — _p_\n"
+    )
 
 
 def test_prompts_and_rendering(spark):
@@ -87,7 +122,6 @@ def test_prompts_and_rendering(spark):
     assert one(spark, text.query_text(F.col("u"), F.col("g"), F.col("k")), ddl, "", ["a"], [], None, None) == "a"
     block = one(spark, text.passages_block(F.col("p")), "p array<struct<source:string,heading:string,text:string>>", [("s", "h", "t"), ("s", None, "t2")])
     assert block == "[1] s — h\nt\n\n[2] s\nt2"
-    assert jsonout.output_markdown(None, "x" * 5000).endswith("x\n```") and "| a | t | c | b |" in jsonout.output_markdown({"kpi_chart_mapping": [{"kpi": "a", "task_type": "t", "chart_type": "c", "alternatives": ["b"]}]}, "")
     assert one(spark, text.asks_to_clarify(F.col("u")), "u string", "I need more information about the KPIs.") is True
     assert one(spark, text.keyword_task(F.col("u")), "u string", "Sales by Region") == "part_to_whole"
     assert one(spark, text.keyword_task(F.col("u")), "u string", "zzz") is None
