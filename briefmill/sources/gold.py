@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefmill.functions import ids
-from briefmill.functions.jsonout import obeys_contract
-from briefmill.operators.relational import last_wins, pool
-from briefmill.operators.report import flattened
+from briefmill.functions.jsonout import PARTIAL, obeys
+from briefmill.operators.relational import pool
+from briefmill.operators.report import key_values
+from briefmill.sources import files
 from briefmill.sources.jsonl import read_jsonl
 
 RATING = "rater_id string, unit_id string, item_id string, method string, scores map<string,int>, comment string, timestamp string"
@@ -36,7 +36,7 @@ def gold_items(spark: SparkSession, path: str | list[str], strict: bool = True)
                         raise ValueError(f"{name}, line {line}: no object")
                     continue
                 wanted = made.get("recommendation", {})
-                if strict and not (isinstance(wanted, dict) and obeys_contract(wanted, False)):
+                if strict and not obeys(wanted, PARTIAL):
                     raise ValueError(f"{name}, line {line}: the recommendation breaks the output contract")
                 rows.append((name, line, made.get("item_id") or (made.get("brief") or {}).get("item_id") or None, made.get("split"), json.dumps(made.get("brief", {}), ensure_ascii=False), json.dumps(wanted, ensure_ascii=False)))
             yield pd.DataFrame(rows, columns=["source_file", "line_no", "item_id", "split", "brief", "recommendation"])
@@ -47,7 +47,7 @@ def gold_items(spark: SparkSession, path: str | list[str], strict: bool = True)
 
 
 def existing(paths: list[str]) -> list[str]:
-    return [p for p in paths if Path(p).exists()]
+    return [p for p in paths if files.exists(p)]
 
 
 def gold_pool(spark: SparkSession, paths: list[str], strict: bool = True) -> DataFrame:
@@ -61,27 +61,27 @@ def gold_pool(spark: SparkSession, paths: list[str], strict: bool = True) -> Dat
 def gold_or_legacy(spark: SparkSession, folder: str, legacy: list[str]) -> DataFrame:
     """``gold.jsonl`` of a folder if it is there, else the pool of the legacy files."""
     first = f"{folder}/gold.jsonl"
-    return gold_pool(spark, [first] if Path(first).exists() else [f"{folder}/{x}" for x in legacy])
+    return gold_pool(spark, [first] if files.exists(first) else [f"{folder}/{x}" for x in legacy])
 
 
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
-    """All ratings below a folder; none if it does not exist."""
-    files = sorted(str(p) for p in Path(folder).glob("*.jsonl"))
-    return read_jsonl(spark, files, RATING) if files else spark.createDataFrame([], f"source_file string, line_no bigint, {RATING}")
+    """All ratings of a folder, in order of files and lines; none if it does not exist."""
+    found = files.matching(f"{folder}/*.jsonl")
+    return read_jsonl(spark, found, RATING) if found else spark.createDataFrame([], f"source_file string, line_no bigint, {RATING}")
 
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
     """(run, name, value) of every run folder's metrics, with its configuration's leaves where the metrics don't name them."""
-    rows = []
-    for folder in sorted(p for p in Path(root).iterdir() if p.is_dir()) if Path(root).exists() else []:
-        if not (folder / "metrics_auto.json").exists():
-            continue
-        merged = {}
-        for part in ("config.json", "metrics_auto.json"):
-            if (folder / part).exists():
-                merged |= dict(flattened(json.loads((folder / part).read_text(encoding="utf-8"))))
-        rows += [(folder.name, k, v if v is None or isinstance(v, str) else json.dumps(v)) for k, v in merged.items()]
-    return spark.createDataFrame(rows, "run string, name string, value string")
+    done = files.matching(f"{root}/*/metrics_auto.json")
+    if not done:
+        return spark.createDataFrame([], "run string, name string, value string")
+    path = F.split(F.col("_metadata.file_path"), "/")
+    texts = spark.read.text([*done, *files.matching(f"{root}/*/config.json")], wholetext=True)
+    named = texts.select(F.struct(F.element_at(path, -2).alias("run"), (F.element_at(path, -1) == "metrics_auto.json").alias("measured")).alias("of"), "value")
+    leaves = key_values(named, "of", "value").select("of.*", "name", "value")
+    own = leaves.groupBy("run", "name").agg(F.max_by("value", "measured").alias("value"), F.max("measured").alias("any"))
+    finished = leaves.filter("measured").select("run").distinct()
+    return own.join(finished, "run", "left_semi").select("run", "name", "value")
 
 
 def aligned(original: DataFrame, perturbed: DataFrame, order: str) -> DataFrame:
@@ -91,6 +91,6 @@ def aligned(original: DataFrame, perturbed: DataFrame, order: str) -> DataFrame:
     return out.withColumn("item_id", F.coalesce("__id", ids.content_id("brief"))).drop("__at", "__id")
 
 
-def eval_set(items: DataFrame, order: str) -> DataFrame:
-    """Items of an evaluation set, the last row of each id."""
-    return last_wins(items, ["item_id"], [order])
+def eval_set(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(items, assignment) of a human evaluation that was built in a folder; raises if either is missing."""
+    return spark.read.parquet(f"{folder}/items"), spark.read.parquet(f"{folder}/assignment")

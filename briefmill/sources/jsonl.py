@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from pathlib import Path
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from briefmill.runtime import small
+from briefmill.sources import files
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -54,40 +55,41 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType |
     return out.withColumn("r", F.from_json("record", schema)).select("source_file", "line_no", "r.*")
 
 
-def fast_jsonl(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
-    """Typed records of clean files whose order does not matter: splittable, in the JVM, malformed lines dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def public(record: Any) -> Any:
+    """A record without the keys that begin with an underscore, at any depth."""
+    if isinstance(record, dict):
+        return {k: public(v) for k, v in record.items() if not str(k).startswith("_")}
+    return [public(v) for v in record] if isinstance(record, list) else record
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON object a line, null fields kept."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    """One JSON object a line, null fields kept, columns that begin with an underscore left out."""
+    shown = df.select(*[c for c in df.columns if not c.startswith("_")])
+    shown.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
     write_jsonl(df, path, "append")
 
 
-def read_document(path: str | Path) -> object:
+def read_document(path: str) -> object:
     """A single JSON document."""
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(files.read_text(path))
 
 
-def write_document(value: object, path: str | Path) -> None:
-    """A JSON document, two spaces of indent, characters as they are, anything else as text."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+def write_document(value: object, path: str) -> None:
+    """A JSON document, two spaces of indent, characters as they are, private keys left out, anything else as text."""
+    files.write_text(json.dumps(public(value), ensure_ascii=False, indent=2, default=str), path)
 
 
-def read_settings(path: str | Path) -> dict:
+def read_settings(path: str) -> dict:
     """A YAML document; an empty one is an empty dict."""
     import yaml
 
-    return yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    return yaml.safe_load(files.read_text(path)) or {}
 
 
-def write_settings(value: dict, path: str | Path) -> None:
+def write_settings(value: dict, path: str) -> None:
     import yaml
 
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(yaml.safe_dump(value, sort_keys=False, allow_unicode=True), encoding="utf-8")
+    files.write_text(yaml.safe_dump(value, sort_keys=False, allow_unicode=True), path)

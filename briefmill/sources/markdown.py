@@ -14,7 +14,7 @@ FEW_WORDS = 5
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(source, text) of the files *.md in a folder, source being the name without its ending."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
     return files.select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.md$", "").alias("source"), F.col("value").alias("text"))
 
 

@@ -10,7 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from briefmill.operators.inference import Generate, run_inference
 from briefmill.operators.relational import first_wins
+from briefmill.sources import files
 from briefmill.sources.gold import RATING
+from briefmill.sources.sinks import split_errors
 
 
 def answer_stream(arriving: DataFrame, method: Callable[[], Generate], keys: list[str], out: str, checkpoint: str, schema: str) -> StreamingQuery:
@@ -21,16 +23,11 @@ def answer_stream(arriving: DataFrame, method: Callable[[], Generate], keys: lis
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
-        try:
-            done = spark.read.schema(schema).parquet(out).select(*keys)
-        except Exception:  # noqa: BLE001  # nothing was written yet
-            done = None
+        # Only a place that is not there yet means that nothing is done; what can't be read raises.
+        done = spark.read.schema(schema).parquet(out).select(*keys) if files.exists(out) else None
         once = first_wins(df, keys, keys)
         made = run_inference(once, done, method, keys)
-        made.filter("error IS NULL").select(*keys, "raw_text", "latency_ms", "parse_error").write.mode("append").parquet(out)
-        failed = made.filter("error IS NOT NULL").select(*keys, "error.*")
-        if not failed.isEmpty():
-            failed.write.mode("append").parquet(f"{out}_errors")
+        split_errors(made.select(*keys, "raw_text", "latency_ms", "parse_error", "error"), out, f"{out}_errors", keys)
 
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

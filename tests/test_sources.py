@@ -2,8 +2,9 @@ import json
 
 import pytest
 from briefmill.operators.inference import echo, generated, prompts, reparsed, run_inference
-from briefmill.operators.registry import METHODS, RETRIEVERS, Registry
-from briefmill.sources import gold, jsonl, markdown, sinks, synthetic
+from briefmill.operators.registry import METHODS, Registry
+from briefmill.operators.retrieval import RETRIEVERS
+from briefmill.sources import files, gold, jsonl, markdown, sinks, synthetic
 from briefmill.streaming import resume
 from pyspark.sql import functions as F
 
@@ -80,12 +81,12 @@ def test_markdown_chunks(spark, tmp_path):
 def test_synthetic_items_do_not_change_as_the_set_grows(spark):
     few = synthetic.generate(spark, 10).orderBy("index").collect()
     assert few == synthetic.generate(spark, 50).orderBy("index").limit(10).collect()
-    from briefmill.functions.jsonout import obeys_contract
+    from briefmill.functions.jsonout import CONTRACT, obeys
     from briefmill.functions.vocab import TASK_CHART
 
     for r in few:
         wish = json.loads(r.recommendation)
-        assert obeys_contract(wish, True) and all(TASK_CHART[m["task_type"]][0] == m["chart_type"] for m in wish["kpi_chart_mapping"])
+        assert obeys(wish, CONTRACT) and all(TASK_CHART[m["task_type"]][0] == m["chart_type"] for m in wish["kpi_chart_mapping"])
         assert len(json.loads(r.brief)["kpis"]) >= 3
 
 
@@ -94,7 +95,23 @@ def test_sinks(spark, tmp_path):
     assert made["experiment_id"] == "e_7" and (tmp_path / "e_7/manifest.json").exists()
     sinks.write_csv_file([{"a": 1, "z": 2}], ["a"], tmp_path / "r.csv")
     sinks.write_report("T", {"S": ([{"a": 0.5}], ["a"])}, tmp_path / "r.md")
-    assert (tmp_path / "r.md").read_text().startswith("# T\n\n## S\n\n| a |") and sinks.package([tmp_path / "e_7"], tmp_path / "o.zip") == 2
+    assert (tmp_path / "r.md").read_text().startswith("# T\n\n## S\n\n| a |") and sinks.package([tmp_path / "e_7"], tmp_path / "o.zip") == 5
+    for name in ("config.json", "config.yaml", "config_hash.txt", "env.txt", "manifest.json"):
+        assert (tmp_path / "e_7" / name).stat().st_size > 0
+    timings = sinks.Timings()
+    for _ in range(2):
+        with timings.stage("infer"):
+            pass
+    assert [r["stage"] for r in timings.rows()] == ["infer", "total"] and sinks.package([tmp_path / "e_7"], tmp_path / "o.zip", timings) == 6
+
+
+def test_files_of_any_store(spark, tmp_path):
+    place = f"file://{tmp_path}/a/b"
+    assert not files.exists(place) and files.matching(f"{place}/*.txt") == []
+    files.write_text("ä\n", f"{place}/one.txt")
+    assert files.exists(place) and files.read_text(f"{place}/one.txt") == "ä\n" and len(files.matching(f"{place}/*.txt")) == 1
+    with pytest.raises(Exception, match="No FileSystem"):
+        files.exists("nowhere://x/y")
 
 
 def test_registry():
