@@ -15,14 +15,15 @@ GROUPS: dict[str, dict[str, dict[str, Any]]] = {
         "ft": {"name": "ft", "retriever": None, "adapter_path": "adapters/latest"},
         "ft_rag": {"name": "ft_rag", "retriever": "tfidf", "top_k": 3, "adapter_path": "adapters/latest"},
     },
+    "retriever": {"tfidf": {}, "bm25": {}, "dense": {"embed": "hashed"}},
     "eval": {
-        "full": {"metrics": ["schema_compliance", "topk_accuracy", "macro_f1", "latency", "grounding"]},
+        "full": {"metrics": ["schema_compliance", "topk_accuracy", "macro_f1", "latency", "grounding", "robustness", "missing_info"]},
         "quick": {"metrics": ["schema_compliance", "topk_accuracy"]},
-        "with_judge": {"metrics": ["schema_compliance", "topk_accuracy", "macro_f1", "latency", "grounding", "g_eval"]},
+        "with_judge": {"metrics": ["schema_compliance", "topk_accuracy", "macro_f1", "latency", "grounding", "robustness", "missing_info", "g_eval"]},
     },
     "data": {"processed": {"folder": "data/processed", "max_samples": None}},
 }
-DEFAULT = {"experiment_name": "run", "seed": 42, "model": "echo", "method": "prompt_only", "eval": "full", "data": "processed"}
+DEFAULT = {"experiment_name": "run", "seed": 42, "model": "echo", "method": "prompt_only", "retriever": "tfidf", "eval": "full", "data": "processed"}
 
 
 def parsed(value: str) -> Any:
@@ -47,10 +48,15 @@ def compose(experiment: dict[str, Any] | None = None, overrides: list[str] | Non
         if name in GROUPS:
             chosen[name] = value
     out: dict[str, Any] = {k: v for k, v in chosen.items() if k not in GROUPS}
+    wanted = {name: parsed(value) for name, value in pairs}.get("method.retriever", GROUPS["method"].get(chosen["method"], {}).get("retriever"))
+    if wanted and not any(name == "retriever" for name, _ in pairs):
+        chosen["retriever"] = wanted
     for group, options in GROUPS.items():
         if chosen[group] not in options:
             raise KeyError(f"no {group} {chosen[group]!r}; there are {', '.join(sorted(options))}")
         out[group] = copy.deepcopy(options[chosen[group]])
+    # The options of a retriever are those of the one that the method uses.
+    out["retriever_name"] = chosen["retriever"]
     for name, value in pairs:
         if name in GROUPS:
             continue

@@ -1,34 +1,31 @@
 """The inference seam: resume, prompts, batched generation with errors set aside, parsing.
 
 A method is a factory that is called once in each task and gives a function from a batch of prompts to raw texts. No
-model ships with the library; ``echo`` is a stand-in that answers by rule, for tests and dry runs.
+model ships with the library: a factory is plugged in by name, and ``echo`` is a stand-in that answers by rule.
 """
 
 from __future__ import annotations
 
+import inspect
 import json
 import time
 import traceback
+import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briefmill.functions import jsonout, text, vocab
-from briefmill.operators.registry import METHODS, RETRIEVERS
+from briefmill.operators.registry import METHODS
 from briefmill.operators.relational import last_wins, resume
-from briefmill.operators.retrieval import bm25_topk, dense_topk, tfidf_topk
 from briefmill.runtime import cut, small
 
 Generate = Callable[[list[str]], list[str]]
 ERROR = "struct<error_type:string,error:string,traceback:string>"
 
-RETRIEVERS.register("tfidf")(tfidf_topk)
-RETRIEVERS.register("bm25")(bm25_topk)
-RETRIEVERS.register("dense")(dense_topk)
-
-
 def echo(answer: str = "line") -> Callable[[], Generate]:
     """A method without a model: a valid output that gives every KPI of the prompt the same chart."""
 
@@ -43,31 +40,54 @@ def echo(answer: str = "line") -> Callable[[], Generate]:
     return setup
 
 
-@METHODS.register("prompt_only")
-def prompt_only(generate: Callable[[], Generate], **_: object) -> Callable[[], Generate]:
-    return generate
+@dataclass(frozen=True)
+class Method:
+    """How prompts are answered: what sets up generation in a task, and whether prompts get passages first."""
+
+    setup: Callable[[], Generate]
+    passages: bool = False
+    adapter_path: str | None = None
+
+    def __call__(self) -> Generate:
+        """A generator for one task; a factory that takes an adapter_path is given it."""
+        takes = "adapter_path" in inspect.signature(self.setup).parameters
+        return self.setup(adapter_path=self.adapter_path) if takes else self.setup()
+
+
+def _method(passages: bool, tuned: bool) -> Callable[..., Method]:
+    def make(generate: Callable[[], Generate], adapter_path: str | None = None, **_: object) -> Method:
+        if tuned and not adapter_path:
+            raise ValueError("a fine-tuned method needs an adapter_path")
+        return Method(generate, passages, adapter_path if tuned else None)
 
+    return make
 
-@METHODS.register("rag")
-def rag(generate: Callable[[], Generate], **_: object) -> Callable[[], Generate]:
-    return generate
 
+for _name, _passages, _tuned in (("prompt_only", False, False), ("rag", True, False), ("ft", False, True), ("ft_rag", True, True)):
+    METHODS.register(_name)(_method(_passages, _tuned))
 
-@METHODS.register("ft")
-def fine_tuned(generate: Callable[[], Generate], adapter_path: str | None = None, **_: object) -> Callable[[], Generate]:
-    if not adapter_path:
-        raise ValueError("a fine-tuned method needs an adapter_path")
-    return generate
 
+def http_judge(url: str, model: str, key: str | None = None, timeout: float = 60.0) -> Callable[[], Generate]:
+    """A judge behind an HTTP service of the usual chat form; a call that fails sets aside its row only."""
 
-@METHODS.register("ft_rag")
-def fine_tuned_rag(generate: Callable[[], Generate], adapter_path: str | None = None, **_: object) -> Callable[[], Generate]:
-    return fine_tuned(generate, adapter_path)
+    def setup() -> Generate:
+        def one(prompt: str) -> str:
+            body = json.dumps({"model": model, "temperature": 0, "messages": [{"role": "user", "content": prompt}]}).encode()
+            headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+            with urllib.request.urlopen(urllib.request.Request(url, body, headers), timeout=timeout) as answer:
+                return json.load(answer)["choices"][0]["message"]["content"]
+
+        return lambda asked: [one(p) for p in asked]
+
+    return setup
 
 
-def clipped(words: Column, most: int, least: int = 16) -> Column:
-    """A list of prompt tokens cut to what a model can take."""
-    return F.slice(words, 1, max(most, least))
+def training_texts(briefs: DataFrame, answers: DataFrame, key: str, answer: Column, keep: list[str], template: Callable[[Column], Column] | None = None, end: str = "\n") -> DataFrame:
+    """(key, keep, text): supervised examples, the prompt of a brief and the answer of its item. ``template`` makes the user's turn a
+    prompt up to the assistant's; ``end`` is what the model's end of text is. Items without an answer are left out."""
+    user = text.user_message(*[F.col(c) for c in ("users", "goals", "kpis", "columns", "constraints")])
+    asked = briefs.select(key, *keep, (template or text.prompt)(user).alias("prompt"))
+    return asked.join(answers.select(key, answer.alias("answer")), key).select(key, *keep, F.concat("prompt", "answer", F.lit(end)).alias("text"))
 
 
 def prompts(briefs: DataFrame, keep: list[str]) -> DataFrame:

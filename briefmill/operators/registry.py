@@ -34,4 +34,4 @@ class Registry:
         return key in self._entries
 
 
-METRICS, RETRIEVERS, METHODS = Registry("metric"), Registry("retriever"), Registry("method")
+METRICS, RETRIEVERS, METHODS, EMBEDDERS = Registry("metric"), Registry("retriever"), Registry("method"), Registry("embedder")

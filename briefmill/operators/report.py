@@ -55,6 +55,14 @@ def select_metric(names: list[str], needle: str) -> str | None:
     return whole[0] if whole else next((n for n in names if needle in n), None)
 
 
+def as_number(value: Any) -> Any:
+    """The number that a text holds, else the value itself."""
+    try:
+        return float(value)
+    except (TypeError, ValueError):
+        return value
+
+
 def number(value: Any) -> str:
     """Three decimals without trailing zeros, nothing for None or NaN."""
     if value is None or value != value:

@@ -2,12 +2,12 @@
 
 TF-IDF is a join on terms: a passage that shares no term never comes up, which is the filter on positive scores. Dense
 search multiplies blocks of queries with blocks of the corpus in Arrow batches and keeps the k best of each block, so no
-pair is ever a row.
+pair is ever a row; what makes texts vectors is plugged in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from briefmill.functions.text import words
 from briefmill.functions.vocab import STOP_WORDS
+from briefmill.operators.registry import EMBEDDERS, RETRIEVERS
 from briefmill.runtime import cut, small
 
-#: Vectors of the corpus in a block, and partial results of a query from one task.
-BLOCK = 4096
+#: Vectors that are multiplied at once, and numbers that are broadcast at most.
+BLOCK, FLOATS = 4096, 16_000_000
 
 
 def term_counts(df: DataFrame, key: str, text: str, stop: list[str] | None = None) -> DataFrame:
@@ -84,34 +85,58 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: x / F.when(length > 0, length).otherwise(1.0))
 
 
+def normed(matrix: np.ndarray) -> np.ndarray:
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, query: str, key: str, vector: str, k: int = 3, not_itself: bool = False) -> DataFrame:
-    """(query, key, score, rank) by dot product of unit vectors; exact, every query against every vector.
+    """(query, key, score, rank) by dot product of unit vectors; exact, every query against every vector, ties to the later key.
 
-    Queries are a stated set, broadcast in blocks of at most BLOCK; each task multiplies its part of the corpus with a block
-    and hands on the k best of each query, so what is shuffled is k rows for each query, block and task.
+    A corpus of at most FLOATS numbers, which is counted, is broadcast, and each task finds the k best of its queries: nothing is
+    shuffled. A larger one is scanned for each block of queries of that size; a task hands on the k best of each query, so what
+    is shuffled is k rows for each query, block and task.
     """
     spark = queries.sparkSession
     asked = queries.filter(F.col(vector).isNotNull()).select(F.col(query).alias("q"), F.col(vector).alias("v"))
-    n = asked.count()
-    blocks = max(1, -(-n // BLOCK))
-    kind = dict(corpus.dtypes)[key]
+    slim = corpus.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    about = slim.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    name = key if key != query else f"{key}_found"
+    kinds = f"q {dict(queries.dtypes)[query]}, k {dict(corpus.dtypes)[key]}, score double"
+    if about.n * (about.d or 0) <= FLOATS:
+        rows = slim.orderBy(F.desc("k")).toPandas()
+        if rows.empty:
+            return spark.createDataFrame([], f"{kinds}, rank int").toDF(query, name, "score", "rank")
+        shared = spark.sparkContext.broadcast((rows.k.to_numpy(), normed(np.stack(rows.v.to_numpy()).astype(np.float32))))
+
+        def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            keys, matrix = shared.value
+            for pdf in parts:
+                for at in range(0, len(pdf), BLOCK):
+                    part = pdf.iloc[at : at + BLOCK]
+                    score = np.round((normed(np.stack(part.v.to_numpy()).astype(np.float32)) @ matrix.T).astype(np.float64), 6)
+                    if not_itself:
+                        score[part.q.to_numpy()[:, None] == keys[None, :]] = -2
+                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    best_score = np.take_along_axis(score, top, 1)
+                    a, b = np.nonzero(best_score > 0)
+                    yield pd.DataFrame({"q": part.q.to_numpy()[a], "k": keys[top[a, b]], "score": best_score[a, b], "rank": (b + 1).astype(np.int32)})
+
+        return asked.mapInPandas(whole, f"{kinds}, rank int").toDF(query, name, "score", "rank")
+    blocks = max(1, -(-asked.count() * about.d // FLOATS))
     numbered = asked.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)))
-    out = None
+    out = spark.createDataFrame([], kinds)
     for i in range(blocks):
         rows = numbered.filter(F.col("b") == i).select("q", "v").toPandas()
         if rows.empty:
             continue
-        matrix = spark.sparkContext.broadcast((rows.q.to_numpy(), np.stack(rows.v.to_numpy()).astype(np.float32)))
+        matrix = spark.sparkContext.broadcast((rows.q.to_numpy(), normed(np.stack(rows.v.to_numpy()).astype(np.float32))))
 
         def run(parts: Iterator[pd.DataFrame], matrix=matrix) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             ids, mine = matrix.value
-            mine = mine / np.maximum(np.linalg.norm(mine, axis=1, keepdims=True), 1e-12)
             for pdf in parts:
                 for at in range(0, len(pdf), BLOCK):
                     part = pdf.iloc[at : at + BLOCK]
-                    own = np.stack(part.v.to_numpy()).astype(np.float32)
-                    own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-                    score = mine @ own.T
+                    score = np.round((mine @ normed(np.stack(part.v.to_numpy()).astype(np.float32)).T).astype(np.float64), 6)
                     keys = part.k.to_numpy()
                     if not_itself:
                         score[ids[:, None] == keys[None, :]] = -2
@@ -119,12 +144,32 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, query: str, key: str, vect
                     # Ties at the edge are all kept, the ranking decides.
                     edge = -np.partition(-score, m - 1, axis=1)[:, m - 1 : m]
                     a, b = np.nonzero(score >= edge)
-                    yield pd.DataFrame({"q": ids[a], "k": keys[b], "score": score[a, b].astype(np.float64)})
-
-        slim = corpus.filter(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"))
-        made = slim.mapInPandas(run, f"q {dict(queries.dtypes)[query]}, k {kind}, score double")
-        out = made if out is None else out.unionByName(made)
-    if out is None:
-        return spark.createDataFrame([], f"{query} {dict(queries.dtypes)[query]}, {key} {kind}, score double, rank int")
-    renamed = out.select(F.col("q").alias(query), F.col("k").alias(key if key != query else f"{key}_found"), F.round("score", 6).alias("score"))
-    return best(renamed, query, key if key != query else f"{key}_found", k)
+                    yield pd.DataFrame({"q": ids[a], "k": keys[b], "score": score[a, b]})
+
+        out = out.unionByName(slim.mapInPandas(run, kinds))
+    return best(out.toDF(query, name, "score"), query, name, k)
+
+
+def hashed_embedding(text: Column, size: int = 256) -> Column:
+    """A stand-in for a model: how often words fall on each of ``size`` places. In the JVM."""
+    places = F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
+
+
+EMBEDDERS.register("hashed")(hashed_embedding)
+
+
+def embedded(df: DataFrame, key: str, text: str, embed: str | Callable[[Column], Column] = "hashed") -> DataFrame:
+    """(key, vector): the dense index of texts. ``embed`` makes a text column a column of vectors, or names one in EMBEDDERS."""
+    make = EMBEDDERS.get(embed) if isinstance(embed, str) else embed
+    return cut(df.select(key, make(F.coalesce(F.col(text), F.lit(""))).alias("vector")))
+
+
+def embedded_topk(queries: DataFrame, corpus: DataFrame, query: str, query_text: str, key: str, text: str, k: int = 3, embed: str | Callable[[Column], Column] = "hashed") -> DataFrame:
+    """As ``tfidf_topk`` by the vectors of queries and passages."""
+    return dense_topk(embedded(queries, query, query_text, embed), embedded(corpus, key, text, embed), query, key, "vector", k)
+
+
+# Every retriever takes (queries, corpus, query, query_text, key, text, k) and options of its own, and gives (query, key, score, rank).
+for _name, _retriever in (("tfidf", tfidf_topk), ("bm25", bm25_topk), ("dense", embedded_topk)):
+    RETRIEVERS.register(_name)(_retriever)

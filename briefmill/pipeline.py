@@ -4,26 +4,28 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefmill.config import get
-from briefmill.functions import jsonout, text, vocab
+from briefmill.config import GROUPS, get
+from briefmill.functions import text, vocab
 from briefmill.operators import human, metrics, report, stats
-from briefmill.operators.inference import Generate, generated, latest_results, prompts, reparsed, with_passages
+from briefmill.operators.evaluation import Run, evaluated, judged
+from briefmill.operators.inference import Generate, generated, latest_results, prompts, reparsed, training_texts, with_passages
 from briefmill.operators.registry import METHODS, RETRIEVERS
 from briefmill.operators.relational import pairs_of, resume
 from briefmill.runtime import cut
-from briefmill.sources import gold, jsonl, markdown, sinks, synthetic
+from briefmill.sources import files, gold, jsonl, markdown, sinks, synthetic
 
 LEGACY = ["train.jsonl", "val.jsonl", "test.jsonl"]
 KEYS = ["item_id", "variant", "config_hash"]
 BRIEF = "users string, goals array<string>, kpis array<string>, columns array<map<string,string>>, constraints string"
 WISH = "context_summary string, kpi_chart_mapping array<struct<kpi:string,task_type:string,chart_type:string,alternatives:array<string>,encoding:string>>, layout string, styling string, interactions array<string>, rationales array<struct<claim:string,principle:string>>"
-RESULT = "item_id string, variant string, config_hash string, method_name string, model_name string, seed int, raw_text string, latency_ms double, retrieved_docs array<struct<rank:int,id:string,source:string,heading:string,text:string,score:double>>"
+#: What the report shows of each run, by the end of the metric's name.
+REPORTED = ["json_parse_rate", "schema_validity_rate", "completeness_score", "top_1_accuracy", "top_3_accuracy", "macro_f1", "unsupported_claim_rate", "paraphrase_consistency", "avg_latency_s", "overall"]
+RESULT = "item_id string, variant string, config_hash string, method_name string, model_name string, seed int, raw_text string, latency_ms double, retrieved_docs array<struct<rank:int,id:string,source:string,heading:string,text:string,score:double>>, written_at timestamp"
 
 
 def generate_dataset(spark: SparkSession, out: str, n: int = 600, seed: int = 42) -> None:
@@ -31,13 +33,25 @@ def generate_dataset(spark: SparkSession, out: str, n: int = 600, seed: int = 42
     synthetic.generate(spark, n, seed).select(line.alias("value")).write.mode("overwrite").text(out)
 
 
+def canonical_records(items: DataFrame) -> DataFrame:
+    """Gold items as typed records: file, line, item_id, split, brief and recommendation."""
+    return items.select("source_file", "line_no", "item_id", "split", F.from_json("brief", BRIEF).alias("brief"), F.from_json("recommendation", WISH).alias("recommendation"))
+
+
 def build_data(spark: SparkSession, raw: str, out: str) -> dict[str, int]:
     """Gold items of a folder, deduplicated and dealt into splits; rows of each split."""
-    items = gold.gold_or_legacy(spark, raw, LEGACY)
-    items.select("item_id", "split", F.from_json("brief", BRIEF).alias("brief"), F.from_json("recommendation", WISH).alias("recommendation")).write.mode("overwrite").partitionBy("split").parquet(out)
+    canonical_records(gold.gold_or_legacy(spark, raw, LEGACY)).write.mode("overwrite").partitionBy("split").parquet(out)
     return {r.split: r["count"] for r in spark.read.parquet(out).groupBy("split").count().collect()}
 
 
+def build_training(spark: SparkSession, items: DataFrame, out: str, end: str = "\n") -> dict[str, int]:
+    """Supervised examples of the train and val splits, as JSON lines for a trainer; rows of each split."""
+    answer = F.to_json("recommendation", {"ignoreNullFields": "false", "pretty": "true"})
+    briefs = items.filter("split IN ('train', 'val')").select("item_id", "split", "brief.*")
+    jsonl.write_jsonl(training_texts(briefs, items, "item_id", answer, ["split"], end=end), out)
+    return {r.split: r["count"] for r in spark.read.schema("split string").json(out).groupBy("split").count().collect()}
+
+
 def build_kb(spark: SparkSession, guidelines: str, out: str) -> int:
     """Chunks of the guidelines; raises if there are none."""
     markdown.chunks(markdown.read_markdown(spark, guidelines)).write.mode("overwrite").parquet(out)
@@ -76,65 +90,58 @@ def infer(spark: SparkSession, items: DataFrame, chunks: DataFrame | None, confi
     """Answers what ``out`` does not hold yet and appends it, errors beside it; the number of new rows."""
     method = METHODS.get(get(config, "method.name"))(generate, adapter_path=get(config, "method.adapter_path"))
     briefs = test_briefs(items, config, variants or ["original", "paraphrased", "missing_info"])
-    done = spark.read.schema(RESULT).parquet(out).select(*KEYS) if Path(out).exists() else None
+    done = spark.read.schema(RESULT).parquet(out).select(*KEYS) if files.exists(out) else None
     todo = cut(resume(briefs, done, KEYS) if done is not None else briefs)
     asked = prompts(todo, KEYS)
-    if (retriever := get(config, "method.retriever")) and chunks is not None:
-        key = F.concat_ws("|", "item_id", "variant")
+    if method.passages and chunks is None:
+        raise ValueError(f"the method {get(config, 'method.name')} needs chunks")
+    if method.passages:
+        name = get(config, "method.retriever") or "tfidf"
+        options = get(config, "retriever", {}) if get(config, "retriever_name") == name else {}
+        key = F.concat_ws("|", *KEYS)
         queries = todo.select(key.alias("q"), text.query_text(F.col("users"), F.col("goals"), F.col("kpis")).alias("t"))
-        hits = RETRIEVERS.get(retriever)(queries, chunks, "q", "t", "id", "text", get(config, "method.top_k", 3))
+        hits = RETRIEVERS.get(name)(queries, chunks, "q", "t", "id", "text", get(config, "method.top_k", 3), **options)
         asked = with_passages(asked.withColumn("q", key), hits, chunks, "q").drop("q")
     else:
         asked = asked.withColumn("retrieved_docs", F.lit(None).cast("array<struct<rank:int,id:string,source:string,heading:string,text:string,score:double>>"))
     made = cut(generated(asked, method, KEYS))
-    named = made.join(asked.select(*KEYS, "retrieved_docs"), KEYS).withColumns({"method_name": F.lit(get(config, "method.name")), "model_name": F.lit(config["model"]), "seed": F.lit(config["seed"])})
-    named.filter("error IS NULL").select(*[x.split()[0] for x in RESULT.split(", ")]).write.mode("append").parquet(out)
-    failed = made.filter("error IS NOT NULL").select(*KEYS, "error.*")
-    if not failed.isEmpty():
-        failed.write.mode("append").parquet(f"{out}_errors")
+    named = made.join(asked.select(*KEYS, "retrieved_docs"), KEYS).withColumns({"method_name": F.lit(get(config, "method.name")), "model_name": F.lit(config["model"]), "seed": F.lit(config["seed"]), "written_at": F.current_timestamp()})
+    sinks.split_errors(named.select(*[x.split()[0] for x in RESULT.split(", ")], "error"), out, f"{out}_errors", KEYS)
     return made.count()
 
 
-def evaluate(spark: SparkSession, items: DataFrame, results: str) -> DataFrame:
-    """(method_name, model_name, seed, name, value): every metric in long form; raises if there are no predictions."""
-    if not Path(results).exists():
+def evaluate(spark: SparkSession, items: DataFrame, results: str, config: dict[str, Any] | None = None, judge_setup: Callable[[], Generate] | None = None) -> DataFrame:
+    """(method_name, model_name, seed, name, value): the metrics that the configuration names, in long form; all but those of a judge
+    without one. Of results written again the last written counts. Raises if there are no predictions."""
+    if not files.exists(results):
         raise FileNotFoundError(f"no predictions in {results}")
     by = ["method_name", "model_name", "seed"]
-    rows = latest_results(spark.read.schema(RESULT).parquet(results), [*by, "item_id", "variant"], ["config_hash", "latency_ms", "raw_text"])
-    own = cut(reparsed(rows))
-    original = own.filter("variant = 'original'")
-    refs = items.select("item_id", F.lit(0).alias("o"), "recommendation.kpi_chart_mapping")
-    joined = metrics.with_reference(original, refs, "item_id", "o")
-    mapping, ok = F.col("parsed.mapping"), F.col("parsed.error").isNull()
-    parts = {
-        "schema_compliance": metrics.schema_compliance(original, by),
-        "topk_accuracy": metrics.topk_accuracy(joined, by, mapping, ok),
-        "macro_f1": metrics.macro_f1(joined, by, mapping, ok),
-        "latency": metrics.latency(original, by),
-        "grounding": metrics.grounding(original, by, F.col("retrieved_docs"), F.col("parsed.rationales")),
-        "robustness": metrics.robustness(own, metrics.with_reference(items.select("item_id").distinct(), refs, "item_id", "o"), by, "item_id", "variant", "latency_ms", mapping, ok, ("original", "paraphrased")),
-        "missing_info": metrics.missing_info(own.filter("variant = 'missing_info'"), by),
-    }
-    out = None
-    for name, df in parts.items():
-        values = [c for c in df.columns if c not in by]
-        cells = F.explode(F.array(*[F.struct(F.lit(f"{name}.{c}").alias("name"), F.col(c).cast("string").alias("value")) for c in values]))
-        long = df.select(*by, cells.alias("x")).select(*by, "x.*")
-        out = long if out is None else out.unionByName(long)
-    return out
+    rows = latest_results(spark.read.schema(RESULT).parquet(results), [*by, "item_id", "variant"], ["written_at", "config_hash", "latency_ms", "raw_text"])
+    names = get(config or {}, "eval.metrics") or GROUPS["eval"]["full"]["metrics"]
+    return evaluated(Run(cut(reparsed(rows)), items, by, judge_setup), names)
 
 
 def aggregate(spark: SparkSession, root: str, out: str) -> DataFrame:
-    """Metrics of all runs pooled over seeds, as CSV and Markdown; raises if there are no runs."""
+    """Metrics of all runs as a table of runs and pooled over seeds, as CSV and Markdown; raises if there are no runs."""
     long = gold.runs(spark, root)
     if long.isEmpty():
         raise ValueError(f"no runs in {root}")
     named = long.groupBy("run").agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in ("model", "method")])
-    pooled = report.pooled(long.filter("name LIKE 'metrics.%'").join(named, "run"), ["model", "method"], "name", "value")
+    measured = cut(long.filter("name LIKE 'metrics.%'").join(named, "run"))
+    pooled = report.pooled(measured, ["model", "method"], "name", "value")
     rows = [r.asDict() for r in pooled.orderBy("model", "method", "name").collect()]
     columns = ["model", "method", "name", "mean", "std", "count"]
-    sinks.write_csv_file(rows, columns, Path(out) / "aggregate_seeds.csv")
-    sinks.write_report("Results", {"Pooled over seeds": (rows, columns)}, Path(out) / "report.md")
+    sinks.write_csv_file(rows, columns, f"{out}/aggregate_seeds.csv")
+    # Runs side by side: a row for each run, a column for each metric; the report shows one column for each thing that is asked for.
+    runs: dict[str, dict[str, Any]] = {}
+    for r in measured.orderBy("run", "name").collect():
+        runs.setdefault(r.run, {"run": r.run, "model": r.model, "method": r.method})[r.name] = r.value
+    names = sorted({k for row in runs.values() for k in row} - {"run", "model", "method"})
+    sinks.write_csv_file(list(runs.values()), ["run", "model", "method", *names], f"{out}/comparison.csv")
+    shown = {needle: name for needle in REPORTED if (name := report.select_metric(names, needle))}
+    table = [{**{k: row[k] for k in ("run", "model", "method")}, **{n: report.as_number(row.get(c)) for n, c in shown.items()}} for row in runs.values()]
+    sections = {"Runs": (table, ["run", "model", "method", *shown]), "Pooled over seeds": (rows, columns)}
+    sinks.write_report("Results", sections, f"{out}/report.md")
     return pooled
 
 
@@ -191,13 +198,7 @@ def human_eval(predictions: DataFrame, references: DataFrame, methods: list[str]
 
 def judge(predictions: DataFrame, briefs: DataFrame, ask: Callable[[], Generate] | None, by: list[str]) -> DataFrame | None:
     """Mean scores of a judge, which answers prompts in batches; None if there is no judge."""
-    if ask is None:
-        return None
-    line = briefs.select("item_id", text.brief_line(*[F.col(c) for c in ("users", "goals", "kpis", "constraints")]).alias("brief"))
-    asked = predictions.join(line, "item_id", "left").select(*by, "item_id", text.judge_prompt(F.col("brief"), F.col("raw_text"), list(vocab.RUBRIC)).alias("prompt"))
-    answers = generated(asked, ask, [*by, "item_id"])
-    scores = answers.withColumn("scores", F.from_json(jsonout.judge_scores_json("raw_text"), "map<string,int>"))
-    return metrics.judge_means(scores, by, "scores")
+    return None if ask is None else judged(predictions, briefs, ask, by)
 
 
 def write_metrics(long: DataFrame, folder: str, config: dict[str, Any]) -> None:
@@ -212,4 +213,4 @@ def write_metrics(long: DataFrame, folder: str, config: dict[str, Any]) -> None:
             pass
         tree.setdefault(metric, {})[key] = value
     sinks.write_manifest(folder, config)
-    jsonl.write_document({"experiment_id": f"{config['experiment_name']}_{config['seed']}", "method": get(config, "method.name"), "model": config["model"], "seed": config["seed"], "metrics": tree}, Path(folder) / "metrics_auto.json")
+    jsonl.write_document({"experiment_id": f"{config['experiment_name']}_{config['seed']}", "method": get(config, "method.name"), "model": config["model"], "seed": config["seed"], "metrics": tree}, f"{folder}/metrics_auto.json")
