@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from briefmill.functions import ids, jsonout, text, vocab
 from briefmill.operators import human, relational, report
-from briefmill.operators.inference import echo, prompts, run_inference
-from briefmill.runtime import skew_join, small, table
+from briefmill.operators.inference import echo, run_inference, training_texts
+from briefmill.runtime import lookup_join, small, table
 from briefmill.sources import markdown, synthetic
 
 QUERIES = {}
@@ -75,10 +75,11 @@ def set1_union_of_sources(spark: SparkSession, d: str) -> DataFrame:
     return relational.pool([own.filter(F.col("source") == s) for s in ("gold_main", "legacy_a", "legacy_b")], "item_id", "record_id").select("item_id", "record_id")
 
 
-@query("SELECT item_id, method_name, prediction_id, latency_ms FROM (SELECT *, row_number() OVER (PARTITION BY item_id, method_name ORDER BY prediction_id DESC) AS rn FROM predictions) WHERE rn = 1 AND NOT coalesce(isnan(latency_ms), false)")
+@query("SELECT item_id, method_name, prediction_id, CASE WHEN NOT isnan(latency_ms) THEN latency_ms END AS latency_ms FROM (SELECT *, row_number() OVER (PARTITION BY item_id, method_name ORDER BY prediction_id DESC) AS rn FROM predictions) WHERE rn = 1")
 def agg2_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "predictions").select("item_id", "method_name", "prediction_id", "latency_ms")
-    return relational.last_wins(own, ["item_id", "method_name"], ["prediction_id"]).filter(~F.coalesce(F.isnan("latency_ms"), F.lit(False)))
+    """The last prediction of each item and method; a latency that is no number is null."""
+    own = table(spark, d, "predictions").select("item_id", "method_name", "prediction_id", F.when(~F.isnan("latency_ms"), F.col("latency_ms")).alias("latency_ms"))
+    return relational.last_wins(own, ["item_id", "method_name"], ["prediction_id"])
 
 
 @query("SELECT record_id, item_id, source FROM briefs WHERE split = 'test'")
@@ -132,12 +133,12 @@ def jn2_resume(spark: SparkSession, d: str) -> DataFrame:
     return relational.resume(table(spark, d, "briefs").select("record_id", "item_id"), done, ["item_id"])
 
 
-@query("SELECT p.prediction_id, coalesce(b.users, '(brief unavailable)') AS users FROM predictions p LEFT JOIN (SELECT item_id, arg_max(users, record_id) FILTER (true) AS users FROM (SELECT * FROM briefs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY record_id DESC) = 1) GROUP BY item_id) b ON p.item_id = b.item_id WHERE p.variant = 'missing_info'")
+@query("SELECT p.prediction_id, coalesce(b.users, '(brief unavailable)') AS users FROM predictions p LEFT JOIN (SELECT item_id, arg_max(users, record_id) FILTER (true) AS users FROM (SELECT * FROM briefs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY record_id DESC) = 1) GROUP BY item_id) b ON p.item_id = b.item_id")
 def jn3_brief_text(spark: SparkSession, d: str) -> DataFrame:
     """Predictions with their brief's users, the last brief winning, or a stand-in."""
     briefs = relational.last_wins(table(spark, d, "briefs").select("item_id", "users", "record_id"), ["item_id"], ["record_id"])
-    own = table(spark, d, "predictions").filter("variant = 'missing_info'").select("prediction_id", "item_id")
-    return own.join(briefs, "item_id", "left").select("prediction_id", F.coalesce("users", F.lit("(brief unavailable)")).alias("users"))
+    own = table(spark, d, "predictions").select("prediction_id", "item_id")
+    return lookup_join(own, briefs.filter("item_id IS NOT NULL"), ["item_id"], "left").select("prediction_id", F.coalesce("users", F.lit("(brief unavailable)")).alias("users"))
 
 
 _METHODS = ["prompt_only", "rag", "ft", "ft_rag"]
@@ -186,7 +187,10 @@ def jn11_positional_alignment(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "at", "left").select("record_id", F.coalesce("item_id", F.lit("none")).alias("item_id"))
 
 
-@query()
+@query(
+    "WITH n AS (SELECT source, heading, text, row_number() OVER (PARTITION BY source ORDER BY '# ' || heading || chr(10) || text) AS ord FROM chunks), c AS (SELECT *, '# ' || trim(heading) || chr(10) || trim(text, chr(10) || ' ') AS body FROM n) "
+    "SELECT source || '_' || substr(md5(body), 1, 8) AS id, source, trim(heading) AS heading, body AS text, ord FROM c WHERE len(list_filter(regexp_split_to_array(trim(body), '\\s+'), lambda x: x <> '')) > 5"
+)
 def win1_chunking(spark: SparkSession, d: str) -> DataFrame:
     """Guideline chunks written as Markdown and cut again at their headings."""
     one = F.concat(F.lit("# "), "heading", F.lit("\n"), "text")
@@ -202,16 +206,16 @@ def ret5_query_text(spark: SparkSession, d: str) -> DataFrame:
 _MESSAGE = (
     "'" + vocab.USER_OPENING + "' || chr(10) || chr(10) || '**Users:** ' || coalesce(users, 'N/A') || chr(10) || '**Goals:** ' || CASE WHEN goals IS NULL OR len(goals) = 0 THEN 'N/A' ELSE array_to_string(list_filter(goals, lambda g: g IS NOT NULL), ', ') END"
     " || chr(10) || '**KPIs:** ' || CASE WHEN kpis IS NULL OR len(kpis) = 0 THEN 'N/A' ELSE array_to_string(list_filter(kpis, lambda g: g IS NOT NULL), ', ') END"
-    " || chr(10) || '**Data columns:** ' || CASE WHEN columns IS NULL OR len(columns) = 0 THEN 'N/A' ELSE array_to_string(list_transform(list_filter(columns, lambda c: c IS NOT NULL), lambda c: coalesce(c['name'], '?') || ' (' || coalesce(c['dtype'], '?') || ')'), ', ') END"
+    " || chr(10) || '**Data columns:** ' || CASE WHEN columns IS NULL OR len(columns) = 0 THEN 'N/A' ELSE array_to_string(list_transform(columns, lambda c: coalesce(c['name'], '?') || ' (' || coalesce(c['dtype'], '?') || ')'), ', ') END"
     " || chr(10) || '**Constraints:** ' || coalesce(nullif(constraints, ''), 'None') || chr(10) || chr(10) || '" + vocab.USER_KEYS + "' || chr(10) || '" + "' || chr(10) || '".join(f"  {i}. {k}" for i, k in enumerate(vocab.REQUIRED_KEYS, 1))
     + "' || chr(10) || chr(10) || '" + vocab.USER_MAPPING + f"' || chr(10) || 'Allowed task_type values: {', '.join(vocab.TASKS)}.' || chr(10) || 'Allowed chart_type values: {', '.join(vocab.CHARTS)}.' || chr(10) || '{vocab.USER_RATIONALES}'"
 )
 
 
-@query(f"SELECT record_id, md5({_MESSAGE}) AS message_md5, length({_MESSAGE}) AS n_chars FROM briefs WHERE NOT list_contains(list_transform(coalesce(columns, []), lambda c: c IS NULL), true)")
+@query(f"SELECT record_id, md5({_MESSAGE}) AS message_md5, length({_MESSAGE}) AS n_chars FROM briefs")
 def sc5_user_message(spark: SparkSession, d: str) -> DataFrame:
     """The user's turn of the prompt for each brief."""
-    own = table(spark, d, "briefs").filter(~F.exists(F.coalesce("columns", F.array().cast("array<map<string,string>>")), lambda c: c.isNull()))
+    own = table(spark, d, "briefs")
     message = text.user_message(*[F.col(c) for c in ("users", "goals", "kpis", "columns", "constraints")])
     return own.select("record_id", F.md5(message).alias("message_md5"), F.length(message).cast("bigint").alias("n_chars"))
 
@@ -222,12 +226,12 @@ def sc7_training_text(spark: SparkSession, d: str) -> DataFrame:
     briefs = relational.last_wins(table(spark, d, "briefs").filter("item_id IS NOT NULL"), ["item_id"], ["record_id"])
     gold = relational.last_wins(table(spark, d, "design_outputs").filter("item_id IS NOT NULL"), ["item_id"], ["output_id"])
     answer = F.to_json(F.struct("context_summary", "kpi_chart_mapping", "layout", "styling", "interactions", "rationales"), {"ignoreNullFields": "false", "pretty": "true"})
-    return prompts(briefs, ["item_id", "split"]).join(gold.select("item_id", answer.alias("answer")), "item_id").select("item_id", "split", F.concat("prompt", "answer", F.lit("\n")).alias("text"))
+    return training_texts(briefs, gold, "item_id", answer, ["split"])
 
 
-@query("SELECT prediction_id, regexp_matches(coalesce(raw_text, ''), '(?i)" + vocab.CLARIFY.replace("'", "''") + "') AS asks FROM predictions WHERE variant = 'missing_info'")
+@query("SELECT prediction_id, regexp_matches(coalesce(raw_text, ''), '(?i)" + vocab.CLARIFY.replace("'", "''") + "') AS asks FROM predictions")
 def sc16_clarify(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "predictions").filter("variant = 'missing_info'").select("prediction_id", text.asks_to_clarify(F.col("raw_text")).alias("asks"))
+    return table(spark, d, "predictions").select("prediction_id", text.asks_to_clarify(F.col("raw_text")).alias("asks"))
 
 
 def _enum_sql(column: str, valid: list[str], aliases: dict[str, str]) -> str:
@@ -259,20 +263,27 @@ def sc21_parsed_outputs(spark: SparkSession, d: str) -> DataFrame:
     return own.select("prediction_id", F.col("p.error").alias("error"), F.size("p.keys").alias("n_keys"), F.size("p.filled_keys").alias("n_filled"), F.col("p.valid").alias("valid"), F.col("p.mapping.chart_type").alias("charts"))
 
 
-@query()
+_LAST = "(SELECT * FROM briefs WHERE item_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY record_id DESC) = 1)"
+_JOINED = "coalesce(array_to_string(list_filter({c}, lambda g: g IS NOT NULL), ', '), '')"
+_LINE = f"'Users: ' || coalesce(users, '') || chr(10) || 'Goals: ' || {_JOINED.format(c='goals')} || chr(10) || 'KPIs: ' || {_JOINED.format(c='kpis')} || chr(10) || 'Constraints: ' || coalesce(constraints, 'None')"
+_HEADS = [f"'{p}'".replace(chr(10), "' || chr(10) || '") for p in (vocab.JUDGE_OPENING, *vocab.JUDGE_PARTS)]
+_DIMENSIONS = " || chr(10) || ".join(f"'- {d}'" for d in vocab.RUBRIC)
+
+
+@query(f"SELECT p.prediction_id, {_HEADS[0]} || {_HEADS[1]} || {_DIMENSIONS} || {_HEADS[2]} || coalesce(b.brief, '(brief unavailable)') || {_HEADS[3]} || coalesce(p.raw_text, '') || {_HEADS[4]} AS prompt FROM predictions p LEFT JOIN (SELECT item_id, {_LINE} AS brief FROM {_LAST}) b ON p.item_id = b.item_id")
 def sc17_judge_prompts(spark: SparkSession, d: str) -> DataFrame:
     """What a judge is asked about each prediction; an item that many predictions answer is salted."""
     briefs = relational.last_wins(table(spark, d, "briefs").filter("item_id IS NOT NULL"), ["item_id"], ["record_id"])
     line = briefs.select("item_id", text.brief_line(*[F.col(c) for c in ("users", "goals", "kpis", "constraints")]).alias("brief"))
     own = table(spark, d, "predictions").select("prediction_id", "item_id", "raw_text")
-    counts = own.groupBy("item_id").agg(F.count("*").alias("n"))
-    return skew_join(own, line, ["item_id"], counts, "left", limit=20_000).select("prediction_id", text.judge_prompt(F.col("brief"), F.col("raw_text"), list(vocab.RUBRIC)).alias("prompt"))
+    return lookup_join(own, line, ["item_id"], "left").select("prediction_id", text.judge_prompt(F.col("brief"), F.col("raw_text"), list(vocab.RUBRIC)).alias("prompt"))
 
 
 @query()
 def sc25_rendered_outputs(spark: SparkSession, d: str) -> DataFrame:
     """Outputs as raters see them."""
-    return table(spark, d, "predictions").select("prediction_id", jsonout.rendered_output("raw_text").alias("markdown"))
+    own = table(spark, d, "predictions").select("prediction_id", "raw_text", jsonout.parsed_output("raw_text").alias("parsed"))
+    return own.select("prediction_id", jsonout.rendered(F.col("parsed"), F.col("raw_text")).alias("markdown"))
 
 
 @query()

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefmill.functions import vocab
+from briefmill.functions import jsonout, text, vocab
 from briefmill.operators import human, metrics, relational, report, retrieval, stats
-from briefmill.runtime import table
+from briefmill.runtime import cut, table
 
 QUERIES = {}
 ORACLE = {}
@@ -120,14 +120,49 @@ def agg9_missing_info(spark: SparkSession, d: str) -> DataFrame:
     return metrics.missing_info(predictions(spark, d).filter("variant = 'missing_info'"), ["method_name"])
 
 
+@query(f"SELECT method_name, variant, count(*) AS n, round(100.0 * count(*) FILTER (regexp_matches(coalesce(raw_text, ''), '(?i){vocab.CLARIFY.replace(chr(39), chr(39) * 2)}')) / count(*), 2) AS clarification_rate FROM predictions GROUP BY ALL")
+def agg9_clarification(spark: SparkSession, d: str) -> DataFrame:
+    """How often the outputs of each variant ask back."""
+    own = predictions(spark, d).groupBy("method_name", "variant").agg(F.count("*").alias("n"), metrics.count_of(text.asks_to_clarify(F.col("raw_text"))).alias("asks"))
+    return own.select("method_name", "variant", "n", metrics.percent(F.col("asks"), F.col("n")).alias("clarification_rate"))
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    """What all metrics need of each prediction, from one scan in which each text is parsed once."""
+    slim = F.transform(MAPPING, lambda m: F.when(m.isNotNull(), F.struct(m["chart_type"].alias("chart_type"), m["alternatives"].alias("alternatives"))))
+    read = jsonout.parsed_output("raw_text")
+    own = predictions(spark, d).select(
+        "prediction_id", "item_id", "method_name", "variant", "latency_ms",
+        F.expr(PARSED).alias("ok"),
+        slim.alias("mapping"),
+        text.asks_to_clarify(F.col("raw_text")).alias("asks"),
+        metrics.supported(F.col("retrieved_docs"), F.col("parsed.rationales")).alias("support"),
+        F.struct(*[read[c].alias(c) for c in ("object", "keys", "filled_keys", "valid")]).alias("read"),
+    )
+    # Whether there is an object is all that metrics ask of it.
+    return cut(own.withColumn("read", F.struct(F.when(F.col("read.object").isNotNull(), "").alias("object"), *[F.col(f"read.{c}") for c in ("keys", "filled_keys", "valid")])))
+
+
 @query()
 def flagship_run_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Every metric of every method in one row: compliance, accuracy, macro-F1, latency, grounding, robustness."""
-    out = agg4_schema_compliance(spark, d)
-    for part in (agg5_topk_accuracy, agg6_macro_f1, agg8_grounding, agg9_robustness, agg9_missing_info):
-        more = part(spark, d)
-        out = out.join(more.select("method_name", *[c for c in more.columns if c not in out.columns]), "method_name", "left")
-    return out.join(metrics.latency(predictions(spark, d), ["method_name"]).drop("n"), "method_name", "left")
+    by, own = ["method_name"], facts(spark, d)
+    mapping, ok = F.col("mapping"), F.col("ok")
+    joined = cut(metrics.with_reference(own.filter("variant = 'original'").select("item_id", *by, "ok", "mapping"), table(spark, d, "design_outputs"), "item_id", "output_id"))
+    answered = own.filter("item_id IS NOT NULL").select("prediction_id", "item_id", *by, "variant", "ok", "mapping")
+    gold = metrics.with_reference(answered.select("item_id").distinct(), table(spark, d, "design_outputs"), "item_id", "output_id")
+    parts = [
+        metrics.topk_accuracy(joined, by, mapping, ok),
+        metrics.macro_f1(joined, by, mapping, ok),
+        metrics.unsupported_rates(own, by, "lexical_proxy"),
+        metrics.robustness(answered, gold, by, "item_id", "variant", "prediction_id", mapping, ok, ("original", "paraphrased")),
+        metrics.missing_info(own.filter("variant = 'missing_info'"), by, parsed="read"),
+        metrics.latency(own, by).drop("n"),
+    ]
+    out = metrics.schema_compliance(own, by, parsed="read")
+    for more in parts:
+        out = out.join(F.broadcast(more.select(*by, *[c for c in more.columns if c not in out.columns])), by, "left")  # a row for each method
+    return out
 
 
 @query(
@@ -187,16 +222,6 @@ def win2_average_ranks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", relational.average_rank("value", ["event_type"]).alias("rank"))
 
 
-_P = "p(a, b, p_value) AS (VALUES ('x', 'y', 0.01), ('x', 'z', 0.04), ('y', 'z', 0.03), ('u', 'v', 0.03), ('u', 'w', 0.9))"
-
-
-@query(f"WITH {_P}, r AS (SELECT *, row_number() OVER (ORDER BY p_value, a, b) AS rn, count(*) OVER () AS m FROM p), h AS (SELECT a, b, CAST(p_value AS DOUBLE) AS p_value, least(1.0, max((m - rn + 1) * p_value) OVER (ORDER BY p_value, a, b ROWS UNBOUNDED PRECEDING)) AS p_holm FROM r) SELECT a, b, p_value, CAST(round(p_holm, 6) AS DOUBLE) AS p_holm, p_holm < 0.05 AS reject_h0 FROM h")
-def st12_holm(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("x", "y", 0.01), ("x", "z", 0.04), ("y", "z", 0.03), ("u", "v", 0.03), ("u", "w", 0.9)]
-    out = stats.holm(spark.createDataFrame(rows, "a string, b string, p_value double"), "p_value", ["a", "b"], [])
-    return out.withColumn("p_holm", F.round("p_holm", 6))
-
-
 def user_scores(spark: SparkSession, d: str) -> DataFrame:
     """(user_id, method, value): users as items, kinds of events as methods, of users who have them all."""
     means = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("v"))
@@ -222,9 +247,28 @@ def st5_mcnemar_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.mcnemar(user_pairs(spark, d, True)).select("a", "b", "n_b", "n_c")
 
 
-@query()
+_MCNEMAR = (
+    f"WITH {_BINARY}, mc AS (SELECT a, b, CAST(count(*) FILTER (x = 1 AND y = 0) AS BIGINT) AS n_b, CAST(count(*) FILTER (x = 0 AND y = 1) AS BIGINT) AS n_c FROM q GROUP BY a, b), "
+    "mt AS (SELECT *, n_b + n_c AS n, unnest(range(0, least(n_b, n_c) + 1)) AS i FROM mc), "
+    "mp AS (SELECT a, b, n_b, n_c, least(1.0, 2 * sum(CASE WHEN n = 0 THEN 1 ELSE exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) END)) AS p FROM mt GROUP BY a, b, n_b, n_c), "
+    "mr AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS rn, count(*) OVER () AS m FROM mp), mh AS (SELECT *, least(1.0, max((m - rn + 1) * p) OVER (ORDER BY p, a, b ROWS UNBOUNDED PRECEDING)) AS h FROM mr) "
+)
+
+
+def mcnemar(spark: SparkSession, d: str) -> DataFrame:
+    own = stats.mcnemar(user_pairs(spark, d, True))
+    return own.withColumns({"p_value": F.round("p_value", 6), "p_holm": F.round("p_holm", 6)})
+
+
+@query(_MCNEMAR + "SELECT a, b, n_b, n_c, CAST(round(p, 6) AS DOUBLE) AS p_value, CAST(round(h, 6) AS DOUBLE) AS p_holm, h < 0.05 AS reject_h0 FROM mh")
 def st6_pairwise_mcnemar(spark: SparkSession, d: str) -> DataFrame:
-    return stats.mcnemar(user_pairs(spark, d, True))
+    return mcnemar(spark, d)
+
+
+@query(_MCNEMAR + "SELECT a, b, CAST(round(h, 6) AS DOUBLE) AS p_holm, h < 0.05 AS reject_h0 FROM mh")
+def st12_holm(spark: SparkSession, d: str) -> DataFrame:
+    """p-values of the paired outcomes of all pairs, corrected for their number."""
+    return mcnemar(spark, d).select("a", "b", "p_holm", "reject_h0")
 
 
 _RANKED = f"WITH {_SCORES}, d AS (SELECT a, b, round(x - y, 12) AS d FROM q WHERE round(x - y, 12) <> 0), r AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2.0 AS r FROM d), w AS (SELECT a, b, count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS DOUBLE) AS wp, CAST(sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS DOUBLE) AS wm FROM r GROUP BY a, b)"
@@ -342,17 +386,32 @@ def ret2_tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.tfidf_topk(briefs, chunks, "record_id", "query", "id", "text").drop("score")
 
 
-@query()
+_BM25 = (
+    "WITH t AS (SELECT id, term, count(*) AS tf FROM (SELECT id, " + _TOKENS.format(t="text") + " AS term FROM chunks) GROUP BY ALL), l AS (SELECT id, sum(tf) AS len FROM t GROUP BY id), g AS (SELECT count(*) AS n, avg(len) AS mean FROM l), df AS (SELECT term, count(*) AS df FROM t GROUP BY term), "
+    "w AS (SELECT id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean)) AS w FROM t JOIN l USING (id) JOIN df USING (term), g), "
+    "q AS (SELECT DISTINCT record_id, term FROM (SELECT record_id, " + _TOKENS.format(t=_QUERY) + " AS term FROM briefs)), s AS (SELECT record_id, id, round(sum(w), 9) AS score FROM q JOIN w USING (term) GROUP BY record_id, id), "
+    "bm AS (SELECT record_id, id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, id DESC) AS rank FROM s) WHERE rank <= 3 AND score > 0)"
+)
+
+
+@query(_BM25 + " SELECT * FROM bm")
 def ret_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Beyond the usual retrievers: BM25."""
     briefs, chunks = terms(spark, d)
-    return retrieval.bm25_topk(briefs, chunks, "record_id", "query", "id", "text")
+    return retrieval.bm25_topk(briefs, chunks, "record_id", "query", "id", "text").drop("score")
 
 
-@query()
+@query(
+    _BM25 + ", tt AS (SELECT term, ln((1.0 + (SELECT count(*) FROM chunks)) / (1.0 + count(*))) + 1.0 AS idf FROM t GROUP BY term), tw AS (SELECT id, term, tf * idf AS w FROM t JOIN tt USING (term)), tn AS (SELECT id, sqrt(sum(w * w)) AS l FROM tw GROUP BY id), "
+    "qt AS (SELECT record_id, term, count(*) AS tf FROM (SELECT record_id, " + _TOKENS.format(t=_QUERY) + " AS term FROM briefs) GROUP BY ALL), qw AS (SELECT record_id, term, tf * idf AS w FROM qt JOIN tt USING (term)), qn AS (SELECT record_id, sqrt(sum(w * w)) AS l FROM qw GROUP BY record_id), "
+    "ts AS (SELECT record_id, id, round(sum(qw.w / qn.l * tw.w / tn.l), 9) AS score FROM qw JOIN qn USING (record_id) JOIN tw USING (term) JOIN tn USING (id) GROUP BY record_id, id), "
+    "tf AS (SELECT record_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, id DESC) AS rank FROM ts) WHERE rank <= 3 AND score > 0), "
+    "f AS (SELECT record_id, id, round(sum(1.0 / (rank + 60)), 9) AS score FROM (SELECT record_id, id, rank FROM bm UNION ALL SELECT record_id, id, rank FROM tf) GROUP BY ALL) "
+    "SELECT record_id, id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, id DESC) AS rank FROM f) WHERE rank <= 3"
+)
 def ret_fused_topk(spark: SparkSession, d: str) -> DataFrame:
     """Beyond the usual retrievers: the rankings of TF-IDF and BM25 in one."""
-    return retrieval.fused([ret2_tfidf_topk(spark, d), ret_bm25_topk(spark, d)], "record_id", "id", 3)
+    return retrieval.fused([ret2_tfidf_topk(spark, d), ret_bm25_topk(spark, d)], "record_id", "id", 3).drop("score")
 
 
 @query(
@@ -366,7 +425,10 @@ def ret4_dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.dense_topk(asked, own, "query_id", "vec_id", "embedding", 3, not_itself=True).drop("score")
 
 
-@query()
+_DOC = "'[' || i || '] ' || regexp_replace(coalesce(x.source, '') || ' — ' || coalesce(x.heading, ''), '^[ —]+|[ —]+$', '', 'g') || chr(10) || coalesce(x.text, '')"
+
+
+@query(f"SELECT prediction_id, array_to_string(list_transform(list_filter(retrieved_docs, lambda x: x IS NOT NULL), lambda x, i: {_DOC}), chr(10) || chr(10)) AS block FROM predictions WHERE len(retrieved_docs) > 0")
 def ret6_passages(spark: SparkSession, d: str) -> DataFrame:
     """Retrieved passages as a numbered block."""
     from briefmill.functions.text import passages_block
@@ -375,16 +437,22 @@ def ret6_passages(spark: SparkSession, d: str) -> DataFrame:
     return own.select("prediction_id", passages_block(F.filter("retrieved_docs", lambda x: x.isNotNull())).alias("block"))
 
 
-RATERS = [f"r{i}" for i in range(1, 7)]
+#: Six of the raters of human_ratings.
+RATERS = [f"rater_{i:05d}" for i in range(6)]
+_UNITS = f"u AS (SELECT item_id, method, item_id || '__' || method AS unit_id FROM (SELECT DISTINCT item_id FROM briefs WHERE split = 'test' AND item_id IS NOT NULL), (SELECT unnest([{', '.join(repr(m) for m in METHODS)}]) AS method))"
+_ASSIGNED = (
+    f"WITH {_UNITS}, n AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || unit_id), unit_id) - 1 AS u FROM u), d AS (SELECT [{', '.join(repr(r) for r in RATERS)}][(u * 3 + j) % 6 + 1] AS rater, unit_id, item_id, method FROM n, range(3) t(j)), "
+    "a AS (SELECT rater, CAST(row_number() OVER (PARTITION BY rater ORDER BY md5('42:' || rater || ':' || unit_id), unit_id) AS INTEGER) AS task_order, unit_id, item_id, method FROM d)"
+)
 
 
-@query("WITH u AS (SELECT count(*) AS n FROM (SELECT DISTINCT item_id FROM briefs WHERE split = 'test' AND item_id IS NOT NULL)) SELECT 'r' || (i + 1) AS rater, CAST(n * 4 * 3 // 6 + CASE WHEN i < (n * 4 * 3) % 6 THEN 1 ELSE 0 END AS BIGINT) AS n_units FROM u, range(6) t(i)")
+@query("WITH u AS (SELECT count(*) AS n FROM (SELECT DISTINCT item_id FROM briefs WHERE split = 'test' AND item_id IS NOT NULL)) SELECT 'rater_0000' || i AS rater, CAST(n * 4 * 3 // 6 + CASE WHEN i < (n * 4 * 3) % 6 THEN 1 ELSE 0 END AS BIGINT) AS n_units FROM u, range(6) t(i)")
 def asg1_assignment_loads(spark: SparkSession, d: str) -> DataFrame:
     """Units of the test items dealt to six raters, three for each unit: how many each has."""
     return human.loads(asg1_assignment(spark, d))
 
 
-@query()
+@query(_ASSIGNED + " SELECT * FROM a")
 def asg1_assignment(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "briefs").filter("split = 'test' AND item_id IS NOT NULL").select("item_id").distinct()
     return human.assignment(human.units(items, METHODS), RATERS, 3)
@@ -400,9 +468,10 @@ def asg2_eval_items(spark: SparkSession, d: str) -> DataFrame:
     return out.select("item_id", F.explode("outputs").alias("method", "raw")).groupBy("item_id").agg(F.count("*").alias("n_outputs"), F.sum(F.length("raw")).alias("n_chars"))
 
 
-@query()
+@query(
+    _ASSIGNED + ", m AS (SELECT a.*, r.unit_id IS NOT NULL AS done FROM a LEFT JOIN (SELECT DISTINCT rater_id, unit_id FROM human_ratings) r ON a.rater = r.rater_id AND a.unit_id = r.unit_id) "
+    "SELECT rater, arg_min(unit_id, task_order) FILTER (NOT done) AS unit_id, min(task_order) FILTER (NOT done) AS task_order, count(*) FILTER (done) AS n_done, count(*) AS n_total FROM m GROUP BY rater HAVING count(*) FILTER (NOT done) > 0"
+)
 def prj15_next_tasks(spark: SparkSession, d: str) -> DataFrame:
-    """Each rater's first open unit."""
-    assigned = asg1_assignment(spark, d)
-    done = assigned.filter("task_order <= 5").select(F.col("rater").alias("rater_id"), "unit_id")
-    return human.next_tasks(assigned, done)
+    """Each rater's first unit that human_ratings has no rating of, and how many are done."""
+    return human.next_tasks(asg1_assignment(spark, d), table(spark, d, "human_ratings").select("rater_id", "unit_id"))
