@@ -57,6 +57,7 @@ KEPT = 200_000
 WORD = re.compile(r"(?<![\w])[^\W\d_]+(?:['’][^\W\d_]+)*(?![\w])")
 INVISIBLE = regex.compile(r"(?!\s)\p{C}")
 TAG = re.compile(r"<[^<>]*>|&#?\w+;")
+CODE_SIGN = re.compile(r"[{}\[\]|=<>\\_^~`(]")
 CODE = re.compile(r"[{}\[\]|=<>\\_^~`]|\w+\(\w*\)")
 
 
@@ -72,16 +73,19 @@ def label_of(lang: Column) -> Column:
 
 def words_of(line: str) -> list[str]:
     """The normalised words of a line; none if it is no prose."""
-    text = unicodedata.normalize("NFKC", html.unescape(line))
-    text = INVISIBLE.sub("", text)
-    bare = TAG.sub(" ", text)
+    text = html.unescape(line)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    if not text.isprintable():
+        text = INVISIBLE.sub("", text)
+    bare = TAG.sub(" ", text) if "<" in text or "&" in text else text
     words = [w.lower() for w in WORD.findall(bare)]
     long = [w for w in words if len(w) > 1]
     if len(long) < 3:
         return []
-    solid = sum(1 for c in bare if not c.isspace())
+    solid = len("".join(bare.split()))
     letters = sum(map(len, words))
-    if letters < 0.6 * solid or len(CODE.findall(bare)) > 0.1 * len(words) + 1:
+    if letters < 0.6 * solid or (CODE_SIGN.search(bare) and len(CODE.findall(bare)) > 0.1 * len(words) + 1):
         return []
     return words
 
