@@ -48,7 +48,17 @@ def agg3_split_counts(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("split_made").agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("n_items"))
 
 
-@query()
+_TEXT = "CASE WHEN {x} IS NULL THEN 'null' ELSE CAST(to_json({x}) AS VARCHAR) END"
+_TEXTS = "CASE WHEN {c} IS NULL THEN 'null' ELSE '[' || array_to_string(list_transform({c}, lambda x: " + _TEXT.format(x="x") + "), ', ') || ']' END"
+_MAP = "CASE WHEN c IS NULL THEN 'null' ELSE '{' || array_to_string(list_transform(list_sort(map_keys(c)), lambda k: CAST(to_json(k) AS VARCHAR) || ': ' || " + _TEXT.format(x="c[k]") + "), ', ') || '}' END"
+_MAPS = "CASE WHEN columns IS NULL THEN 'null' ELSE '[' || array_to_string(list_transform(columns, lambda c: " + _MAP + "), ', ') || ']' END"
+_BRIEF = (
+    "'{\"columns\": ' || " + _MAPS + " || ', \"constraints\": ' || " + _TEXT.format(x="constraints") + " || ', \"goals\": ' || " + _TEXTS.format(c="goals")
+    + " || ', \"kpis\": ' || " + _TEXTS.format(c="kpis") + " || ', \"users\": ' || " + _TEXT.format(x="users") + " || '}'"
+)
+
+
+@query(f"SELECT record_id, 'item_' || substr(md5({_BRIEF}), 1, 8) AS content_id FROM briefs")
 def sc2_content_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids from the content of briefs, in canonical JSON."""
     brief = F.to_json(F.struct("users", "goals", "kpis", "columns", "constraints"), {"ignoreNullFields": "false"})

@@ -84,7 +84,26 @@ def agg7_latency(spark: SparkSession, d: str) -> DataFrame:
     return metrics.latency(predictions(spark, d), ["method_name", "model_name"])
 
 
-@query()
+_FENCED = "regexp_extract(raw_text, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1)"
+_SPAN = "regexp_extract(raw_text, '(?s)\\{.*\\}')"
+_OBJECT = f"CASE WHEN {_FENCED} <> '' AND json_valid({_FENCED}) THEN {_FENCED} WHEN {_SPAN} <> '' AND json_valid({_SPAN}) THEN {_SPAN} END"
+_IS = lambda x, key, kind, absent: f"coalesce(json_type({x}, '$.{key}'), '{absent}') = '{kind}'"
+_ONE_OF = lambda x, key, values: f"{_IS(x, key, 'VARCHAR', '')} AND json_extract_string({x}, '$.{key}') IN ({', '.join(repr(v) for v in values)})"
+_ENTRY = f"json_type(m) = 'OBJECT' AND {_ONE_OF('m', 'task_type', vocab.TASKS)} AND {_ONE_OF('m', 'chart_type', vocab.CHARTS)} AND {_IS('m', 'kpi', 'VARCHAR', 'VARCHAR')} AND {_IS('m', 'alternatives', 'ARRAY', 'ARRAY')} AND {_IS('m', 'encoding', 'OBJECT', 'OBJECT')}"
+_REASON = f"json_type(m) = 'OBJECT' AND {_IS('m', 'claim', 'VARCHAR', 'VARCHAR')} AND {_IS('m', 'principle', 'VARCHAR', 'VARCHAR')}"
+_EVERY = lambda key, test: f"len(list_filter(json_extract(o, '$.{key}[*]'), lambda m: NOT ({test}))) = 0"
+_VALID = " AND ".join(
+    [_IS("o", k, "OBJECT", "") for k in ("context_summary", "layout", "styling")] + [_IS("o", k, "ARRAY", "") for k in ("kpi_chart_mapping", "interactions", "rationales")] + [_EVERY("kpi_chart_mapping", _ENTRY), _EVERY("rationales", _REASON)]
+)
+_FILLED = " + ".join(f"CASE WHEN coalesce(CAST(json_extract(o, '$.{k}') AS VARCHAR), 'null') NOT IN ('null', '[]', '{{}}', '\"\"') THEN 1 ELSE 0 END" for k in vocab.REQUIRED_KEYS)
+_ALL_KEYS = " AND ".join(f"json_exists(o, '$.{k}')" for k in vocab.REQUIRED_KEYS)
+_COVERED = ", ".join(f"round(100.0 * count(*) FILTER (json_exists(o, '$.{k}')) / count(*), 2) AS coverage_{k}" for k in vocab.REQUIRED_KEYS)
+
+
+@query(
+    f"SELECT method_name, count(*) AS n, round(100.0 * count(o) / count(*), 2) AS json_parse_rate, round(100.0 * count(*) FILTER ({_ALL_KEYS}) / count(*), 2) AS required_keys_rate, "
+    f"round(100.0 * count(*) FILTER ({_VALID}) / count(*), 2) AS schema_validity_rate, round(sum({_FILLED}) / (6 * count(*)), 4) AS completeness_score, {_COVERED} FROM (SELECT method_name, {_OBJECT} AS o FROM predictions) GROUP BY method_name"
+)
 def agg4_schema_compliance(spark: SparkSession, d: str) -> DataFrame:
     return metrics.schema_compliance(predictions(spark, d), ["method_name"])
 
@@ -115,7 +134,10 @@ def agg9_robustness(spark: SparkSession, d: str) -> DataFrame:
     return metrics.robustness(own, gold, ["method_name"], "item_id", "variant", "prediction_id", F.col(MAPPING), F.expr(PARSED), ("original", "paraphrased"))
 
 
-@query()
+@query(
+    f"SELECT method_name, count(*) AS n, round(100.0 * count(*) FILTER (regexp_matches(coalesce(raw_text, ''), '(?i){vocab.CLARIFY.replace(chr(39), chr(39) * 2)}')) / count(*), 2) AS missing_info_clarification_rate, "
+    f"round(100.0 * count(*) FILTER ({_ALL_KEYS}) / count(*), 2) AS missing_info_schema_rate FROM (SELECT method_name, raw_text, {_OBJECT} AS o FROM predictions WHERE variant = 'missing_info') GROUP BY method_name"
+)
 def agg9_missing_info(spark: SparkSession, d: str) -> DataFrame:
     return metrics.missing_info(predictions(spark, d).filter("variant = 'missing_info'"), ["method_name"])
 
@@ -475,3 +497,11 @@ def asg2_eval_items(spark: SparkSession, d: str) -> DataFrame:
 def prj15_next_tasks(spark: SparkSession, d: str) -> DataFrame:
     """Each rater's first unit that human_ratings has no rating of, and how many are done."""
     return human.next_tasks(asg1_assignment(spark, d), table(spark, d, "human_ratings").select("rater_id", "unit_id"))
+
+
+_LATENCY = "SELECT method_name, round(avg(latency_ms), 1) AS avg_latency_ms, round(avg(latency_ms) / 1000, 3) AS avg_latency_s, round(quantile_cont(latency_ms, 0.5), 1) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 1) AS p95_latency_ms FROM predictions WHERE latency_ms IS NOT NULL AND NOT isnan(latency_ms) GROUP BY method_name"
+_PARTS = {"agg5_topk_accuracy": "method_name, n", "agg6_macro_f1": "method_name, n", "agg8_grounding": "method_name, n", "agg9_robustness": "method_name", "agg9_missing_info": "method_name, n"}
+ORACLE["flagship_run_metrics"] = (
+    "SELECT a.*, " + ", ".join(f"{name}.* EXCLUDE ({drop})" for name, drop in _PARTS.items()) + f", l.* EXCLUDE (method_name) FROM ({ORACLE['agg4_schema_compliance']}) a "
+    + " ".join(f"LEFT JOIN ({ORACLE[name]}) {name} ON a.method_name = {name}.method_name" for name in _PARTS) + f" LEFT JOIN ({_LATENCY}) l ON a.method_name = l.method_name"
+)
