@@ -88,3 +88,35 @@ def test_units_of_one_and_two_raters(spark, tmp_path):
     assert [r.unit_id for r in queries.p4_found(spark, str(tmp_path)).collect()] == ["three"]
     r = queries.p4_agreement(spark, str(tmp_path)).first()
     assert (r.n_units, round(r.observed, 6)) == (3, round(5 / 7, 6))
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    given = ["2026-01-01T11:00:00", "2026-01-01 11:00:00", "01.01.2026 11:00:00", "1767265200", "2026-01-01T12:00:00+01:00", "2026-01-01", "garbage", None]
+    want = [1767265200_000000] * 5 + [1767225600_000000, None, None]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("UTC", "Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+            assert [r.m for r in df.select("i", co.moment(F.col("t")).alias("m")).orderBy("i").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_triplets_give_the_average_rater():
+    """Tables of exact rates are taken apart into the shares and rows that they were made of."""
+    rng = np.random.default_rng(5)
+    rows = 0.6 * np.eye(5) + 0.4 * rng.dirichlet(np.ones(5), 5)
+    shares = rng.dirichlet(np.full(5, 4.0))
+    three = 1e9 * np.einsum("y,ya,yb,yc->abc", shares, rows, rows, rows)
+    got_shares, got_rows = co.average_rater(three, three.sum(2))
+    assert np.allclose(got_shares, shares, atol=1e-4) and np.allclose(got_rows, rows, atol=1e-4)
+    met = np.einsum("rst,tb->rsb", 100 * rng.random((3, 5, 5)), rows)
+    assert np.allclose(co.solved(met, rows) @ rows, met, rtol=0.02)
+
+
+def test_no_triplets_still_tell_a_consensus(spark):
+    """Pairs alone: one accuracy for all raters."""
+    rows = [(2 * u + k, f"r{(u + k) % 5}", f"u{u}", {"d": 4 if u % 2 else 2}, "2026-01-01 10:00:00", "2026-01-01 10:00:00", None, None) for u in range(40) for k in range(2)]
+    units, _ = co.judged(frame(spark, rows), least=2)
+    assert {(r.unit_id, r.score) for r in units.collect()} == {(f"u{u}", 4 if u % 2 else 2) for u in range(40)}
