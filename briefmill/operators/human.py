@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefmill.operators.relational import in_all, last_wins
-from briefmill.runtime import cut
+from briefmill.runtime import cut, small
 
 
 def unit_id(item: str = "item_id", method: str = "method"):  # noqa: ANN201
@@ -27,7 +27,7 @@ def assignment(unit_rows: DataFrame, raters: list[str], per_unit: int, seed: int
     """(rater, task_order, unit_id, item_id, method): each unit to ``per_unit`` different raters, loads within one of each other.
 
     Units are numbered in seeded hash order and unit u goes to raters (u k + j) mod R. The number is made of counts of hash
-    ranges and a number within the range, so no single task orders all units.
+    ranges and a number within the range, so no single task orders all units, nor all units of a rater.
     """
     r = len(raters)
     if per_unit > r:
@@ -39,8 +39,13 @@ def assignment(unit_rows: DataFrame, raters: list[str], per_unit: int, seed: int
     names = F.array(*[F.lit(x) for x in raters])
     dealt = numbered.select("u", "unit_id", "item_id", "method", F.explode(F.sequence(F.lit(0), F.lit(per_unit - 1))).alias("j"))
     dealt = dealt.withColumn("rater", F.element_at(names, (F.pmod(F.col("u") * per_unit + F.col("j"), F.lit(r)) + 1).cast("int")))
-    mine = F.md5(F.concat_ws(":", F.lit(str(seed)), "rater", "unit_id"))
-    return dealt.withColumn("task_order", F.row_number().over(Window.partitionBy("rater").orderBy(mine, "unit_id"))).select("rater", "task_order", "unit_id", "item_id", "method")
+    # Tasks of a rater are numbered the same way, in the order of hashes of their own.
+    mine = dealt.select("rater", "unit_id", "item_id", "method", F.md5(F.concat_ws(":", F.lit(str(seed)), "rater", "unit_id")).alias("h"))
+    mine = mine.withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
+    sizes = mine.groupBy("rater", "range").agg(F.count("*").alias("n"))
+    start = sizes.select("rater", "range", (F.sum("n").over(Window.partitionBy("rater").orderBy("range")) - F.col("n")).alias("start"))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("rater", "range").orderBy("h", "unit_id"))
+    return mine.join(small(start, 200_000), ["rater", "range"]).withColumn("task_order", place.cast("int")).select("rater", "task_order", "unit_id", "item_id", "method")
 
 
 def loads(assigned: DataFrame) -> DataFrame:

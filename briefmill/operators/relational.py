@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from briefmill.runtime import small
+from briefmill.runtime import lookup_join, small
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -83,6 +83,15 @@ def with_below(counted: DataFrame, within: list[str], value: str, n: str, below:
     return out.select(*counted.columns, below)
 
 
+def ranked(df: DataFrame, within: list[str], value: str, rank: str = "rank") -> DataFrame:
+    """``df`` with ranks from 1, ties averaged, within large groups: values are counted and ranked by ranges, then looked up by the
+    rows. Rows without a value or a group are left out."""
+    own = df.dropna(subset=[*within, value])
+    counted = own.groupBy(*within, value).agg(F.count("*").alias("__k"))
+    placed = with_below(counted, within, value, "__k", "__below")
+    return lookup_join(own, placed.select(*within, value, (F.col("__below") + (F.col("__k") + 1) / F.lit(2.0)).alias(rank)), [*within, value])
+
+
 def pairs_of(df: DataFrame, item: str, group: str, value: str, order: dict[str, int]) -> DataFrame:
     """(a, b, item, x, y): each item's values in two groups, a before b in ``order``.
 

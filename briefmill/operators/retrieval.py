@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from briefmill.functions.text import words
 from briefmill.functions.vocab import STOP_WORDS
 from briefmill.operators.registry import EMBEDDERS, RETRIEVERS
-from briefmill.runtime import cut, small
+from briefmill.runtime import cut, lookup_join, small
 
 #: Vectors that are multiplied at once, and numbers that are broadcast at most.
 BLOCK, FLOATS = 4096, 16_000_000
@@ -47,7 +47,7 @@ def tfidf_topk(queries: DataFrame, corpus: DataFrame, query: str, query_text: st
     """(query, key, score, rank): cosine, ties to the later key."""
     index, idf = tfidf_index(corpus, key, text, stop)
     asked = unit_weights(term_counts(queries, query, query_text, stop), idf, query).withColumnRenamed("w", "qw")
-    scored = asked.join(small(index, 200_000), "term").groupBy(query, key).agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+    scored = lookup_join(asked, index, ["term"], rows=200_000).groupBy(query, key).agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
     return best(scored.withColumn("score", F.round("score", 9)), query, key, k)
 
 
@@ -60,7 +60,7 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, query: str, query_text: str
     w = counts.join(length, key).join(df, "term").crossJoin(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = w.select(key, "term", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))).alias("w"))
-    scored = term_counts(queries, query, query_text, stop).join(small(w, 200_000), "term").groupBy(query, key).agg(F.sum("w").alias("score"))
+    scored = lookup_join(term_counts(queries, query, query_text, stop), w, ["term"], rows=200_000).groupBy(query, key).agg(F.sum("w").alias("score"))
     return best(scored.withColumn("score", F.round("score", 9)), query, key, k)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from briefmill.functions import ids, jsonout, text, vocab
@@ -184,13 +184,14 @@ def jn10_positional_zip(spark: SparkSession, d: str) -> DataFrame:
 def jn11_positional_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Rows of one split keyed by those of another at the same place; places are numbered by ranges, not in one task."""
     own = table(spark, d, "briefs")
+    ends = own.agg(F.min("record_id").alias("low"), F.max("record_id").alias("high")).first()
+    # Ten thousand ranges of ids at most, however many ids there are.
+    width = max(10_000, ((ends.high or 0) - (ends.low or 0)) // 10_000 + 1)
 
     def numbered(split: str) -> DataFrame:
-        df = own.filter(F.col("split") == split).select("record_id", "item_id").withColumn("range", F.floor(F.col("record_id") / 10_000))
+        df = own.filter(F.col("split") == split).select("record_id", "item_id").withColumn("range", F.floor(F.col("record_id") / width))
         sizes = df.groupBy("range").agg(F.count("*").alias("n"))
-        from pyspark.sql import Window
-
-        start = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("start"))
+        start = sizes.select("range", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("n")).alias("start"))
         return df.join(small(start), "range").select("record_id", "item_id", (F.col("start") + F.row_number().over(Window.partitionBy("range").orderBy("record_id"))).alias("at"))
 
     a, b = numbered("test").select("record_id", "at"), numbered("val").select("item_id", "at")

@@ -241,7 +241,8 @@ def agg18_differences(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS rank FROM events")
 def win2_average_ranks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", relational.average_rank("value", ["event_type"]).alias("rank"))
+    own = table(spark, d, "events").select("event_id", "event_type", "value")
+    return relational.ranked(own, ["event_type"], "value").select("event_id", "rank")
 
 
 def user_scores(spark: SparkSession, d: str) -> DataFrame:

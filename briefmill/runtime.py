@@ -122,10 +122,10 @@ def skew_join(big: DataFrame, other: DataFrame, keys: list[str], counts: DataFra
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
-def lookup_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join of many rows with a table that is unique in ``keys``: broadcast if that is counted to be small, so ``big`` is not
-    shuffled; else hot keys of ``big`` are salted."""
-    few = small(other)
+def lookup_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Equi-join of many rows with a table that has few of each key: broadcast if it is counted to have at most ``rows``, so ``big`` is
+    not shuffled; else hot keys of ``big`` are salted."""
+    few = small(other, rows)
     if few is not other:
         return big.join(few, keys, how)
     return skew_join(big, other, keys, big.groupBy(*keys).agg(F.count("*").alias("n")), how)

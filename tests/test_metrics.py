@@ -192,3 +192,10 @@ def test_dense_with_an_embedder(spark):
     assert retrieval.embedded_topk(asked, chunks, "q", "t", "id", "text", 1, own).count() == 3
     with pytest.raises(KeyError):
         retrieval.embedded_topk(asked, chunks, "q", "t", "id", "text", 1, "none")
+
+
+def test_ranks_of_large_groups_equal_ranks_in_windows(spark):
+    rows = [(g, n, float(n * 7 % 23)) for g in ("a", "b") for n in range(60)] + [("a", 99, None)]
+    df = spark.createDataFrame(rows, "g string, n int, v double")
+    want = {(r.g, r.n): r.r for r in df.dropna().select("g", "n", relational.average_rank("v", ["g"]).alias("r")).collect()}
+    assert want == {(r.g, r.n): r["rank"] for r in relational.ranked(df, ["g"], "v").collect()}
