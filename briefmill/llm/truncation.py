@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from briefmill.runtime import cut, spread
+from briefmill.runtime import cut, lookup_join, skew_join, spread
 
 #: An ending is a terminator of a source if it makes up this share of the endings in question, and so many distinct texts have it at least.
 SHARE, LEAST = 0.05, 5
@@ -239,11 +239,14 @@ def truncated(states: DataFrame) -> DataFrame:
         .select("s", "about")
     )
     usual = everywhere.crossJoin(F.broadcast(total)).filter((F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("of_all"))).select("about")
-    # At most 1 / SHARE endings of a source are usual; both lists are small by construction.
-    open_tails = tails.withColumn("s", F.coalesce("source", F.lit(""))).join(F.broadcast(usual), "about", "left_anti").join(usual_here, ["s", "about"], "left_anti")
+    # At most 1 / SHARE endings of all texts are usual, and as many of each source.
+    open_tails = tails.withColumn("s", F.coalesce("source", F.lit(""))).join(F.broadcast(usual), "about", "left_anti")
+    open_tails = lookup_join(open_tails, usual_here, ["s", "about"], "left_anti")
+    # Entries are decided by their endings, counted first; an ending that very many texts share is spread over tasks.
     entries = states.filter("kind = 'entry'")
     endings = states.filter("kind = 'ending'").select("about").distinct()
-    open_entries = entries.join(endings, "about", "left_anti")
+    counts = entries.groupBy("about").agg(F.count("*").alias("n"))
+    open_entries = skew_join(entries, counts.select("about").join(endings, "about", "left_anti"), ["about"], counts)
     return structural.unionByName(open_tails.select("of", "source", F.lit("sentence").alias("reason"))).unionByName(open_entries.select("of", "source", F.lit("entry").alias("reason")))
 
 

@@ -91,3 +91,13 @@ def test_empty_table(spark):
     states = tr.judged(spark.createDataFrame([], DDL), "id", "t", "s")
     assert tr.truncated(states).count() == 0 and tr.by_source(states).count() == 0
     assert states.select(F.count("*")).first()[0] == 0
+
+
+def test_hot_entries_are_whole(spark, monkeypatch):
+    """An entry's ending that very many texts share is salted; copies are judged alike."""
+    import functools
+
+    monkeypatch.setattr(tr, "skew_join", functools.partial(tr.skew_join, limit=5, salts=4))
+    rows = [(i, "Tiles:\n- A: bar for Fleet Bu", "a", None, None) for i in range(40)] + [(100 + i, "Tiles:\n- A: bar for Fleet Buyers\n- B: pie for Fleet Buyers", None, None, None) for i in range(40)]
+    states = tr.judged(spark.createDataFrame(rows, DDL), "id", "t", "s")
+    assert sorted(r.of for r in tr.truncated(states).collect()) == list(range(40))
