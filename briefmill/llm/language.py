@@ -105,7 +105,8 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def summed(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct places, in order, and the sum of the rows of each."""
-    order = np.argsort(at, kind="stable")
+    # Places are few enough for 16 bits as a rule, which are sorted by digits.
+    order = np.argsort(at.astype(np.uint16) if at.max(initial=0) < 1 << 16 else at, kind="stable")
     there = at[order]
     first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
     return there[first], np.add.reduceat(rows[order], first, axis=0)
