@@ -86,7 +86,9 @@ def agg7_latency(spark: SparkSession, d: str) -> DataFrame:
 
 _FENCED = "regexp_extract(raw_text, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1)"
 _SPAN = "regexp_extract(raw_text, '(?s)\\{.*\\}')"
-_OBJECT = f"CASE WHEN {_FENCED} <> '' AND json_valid({_FENCED}) THEN {_FENCED} WHEN {_SPAN} <> '' AND json_valid({_SPAN}) THEN {_SPAN} END"
+# DuckDB's JSON lets commas stand before closing brackets, which JSON does not.
+_STRICT = lambda x: f"json_valid({x}) AND NOT regexp_matches(regexp_replace({x}, '\"(?:[^\"\\\\]|\\\\.)*\"', '0', 'g'), ',\\s*[}}\\]]')"
+_OBJECT = f"CASE WHEN {_FENCED} <> '' AND {_STRICT(_FENCED)} THEN {_FENCED} WHEN {_SPAN} <> '' AND {_STRICT(_SPAN)} THEN {_SPAN} END"
 _IS = lambda x, key, kind, absent: f"coalesce(json_type({x}, '$.{key}'), '{absent}') = '{kind}'"
 _ONE_OF = lambda x, key, values: f"{_IS(x, key, 'VARCHAR', '')} AND json_extract_string({x}, '$.{key}') IN ({', '.join(repr(v) for v in values)})"
 _ENTRY = f"json_type(m) = 'OBJECT' AND {_ONE_OF('m', 'task_type', vocab.TASKS)} AND {_ONE_OF('m', 'chart_type', vocab.CHARTS)} AND {_IS('m', 'kpi', 'VARCHAR', 'VARCHAR')} AND {_IS('m', 'alternatives', 'ARRAY', 'ARRAY')} AND {_IS('m', 'encoding', 'OBJECT', 'OBJECT')}"
