@@ -167,8 +167,14 @@ def supported(docs: Column, rationales: Column) -> Column:
     without passages."""
     context = F.array_distinct(F.flatten(F.transform(passages_of(docs), text.content_words)))
     scored = F.filter(F.transform(claims_of(rationales), text.content_words), lambda c: F.size(c) > 0)
-    lacking = F.filter(scored, lambda c: F.size(F.array_intersect(c, context)) / F.size(c) < vocab.LEXICAL_SUPPORT)
-    return F.when(F.size(docs) > 0, F.struct(F.size(scored).alias("scored"), F.size(lacking).alias("lacking")))
+
+    def counted(x: Column) -> Column:
+        lacking = F.filter(x["scored"], lambda c: F.size(F.array_intersect(c, x["context"])) / F.size(c) < vocab.LEXICAL_SUPPORT)
+        return F.struct(F.size(x["scored"]).alias("scored"), F.size(lacking).alias("lacking"))
+
+    # A list of one binds both, so that the passages' words are read once and not for every claim.
+    bound = F.transform(F.array(F.struct(scored.alias("scored"), context.alias("context"))), counted)
+    return F.when(F.size(docs) > 0, bound[0])
 
 
 def grounding(predictions: DataFrame, by: list[str], docs: Column, rationales: Column, encoder: Callable[[Column], Column] | None = None) -> DataFrame:
